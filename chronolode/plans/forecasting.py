@@ -336,7 +336,7 @@ def horizon_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"with {pair_features_sql()}, m as (select avg(a) as ma, avg(b) as mb from pairs) "
-    "select pos, 'lag_1' as feature, {steady_sql('a')} as value, {steady_sql('0.25 * (a - ma)')} as phi from pairs cross join m "
+    f"select pos, 'lag_1' as feature, {steady_sql('a')} as value, {steady_sql('0.25 * (a - ma)')} as phi from pairs cross join m "
     f"union all select pos, 'roll_mean_6', {steady_sql('b')}, {steady_sql('-0.5 * (b - mb)')} from pairs cross join m"
 )
 def linear_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
