@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolode.operators.features import FeatureSpec, horizon_features, with_levels
-from chronolode.operators.models import ModelSpec, TrainingTable, fit, score
+from chronolode.operators.models import ModelSpec, TrainingTable, fit, lay_out, score
 from chronolode.operators.ordering import TimeOrder, fold_starts, holdout_start, with_position
 from chronolode.operators.ridge import ridge_fold_predictions
 from chronolode.operators.scoring import gain_vs_baseline, mean_scores, regression_scores
@@ -144,15 +144,17 @@ def seed_robustness(
 def horizon_tables(
     df: DataFrame, spec: FeatureSpec, order: TimeOrder, horizons: Sequence[int]
 ) -> dict[int, TrainingTable]:
-    """One training table per horizon, all read from one written table: features
-    are built once and positions are numbered per horizon in one pass."""
+    """One training table per horizon. Features are built once and written by
+    horizon; positions are numbered within each."""
     spec = with_levels(df, spec)
     stacked = horizon_features(df, spec, order, horizons)
     timeline = TimeOrder(order.ts, ties=(*order.ties, *order.keys), keys=("horizon",))
-    written = materialise(with_position(stacked, timeline), "horizons")
-    sizes = {r["horizon"]: r["n"] for r in written.groupBy("horizon").agg(F.count("*").alias("n")).collect()}
+    features = materialise(stacked, "horizon-features", ("horizon",))
+    placed = with_position(features, timeline)
+    sizes = {r["horizon"]: r["n"] for r in features.groupBy("horizon").agg(F.count("*").alias("n")).collect()}
     return {
-        h: TrainingTable(written.where(F.col("horizon") == h), sizes[h], tuple(spec.columns)) for h in horizons
+        h: lay_out(placed.where(F.col("horizon") == h), sizes[h], spec.columns)
+        for h in horizons
     }
 
 

@@ -36,8 +36,8 @@ def _level_one(baskets: DataFrame, n: int, min_support: float) -> DataFrame:
 def item_support(tx: DataFrame, min_support: float = 0.0, items: str = "items") -> DataFrame:
     """Items held by at least ``min_support`` of the transactions, as
     ``(item, n_tx, support)``."""
-    baskets = distinct_baskets(tx, items)
-    n = tx.count()
+    baskets = materialise(distinct_baskets(tx, items), "baskets")
+    n = baskets.agg(F.sum("w")).first()[0] or 1
     return _level_one(baskets, n, min_support).select(F.col("itemset")[0].alias("item"), "n_tx", "support")
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolode.operators.ordering import TimeOrder, with_position
-from chronolode.sources.scratch import checkpoint_folder, materialise
+from chronolode.sources.scratch import fixed_partitions, materialise
 
 DEEPEST_TREE = 30
 MAX_BINS = 256
@@ -89,7 +89,10 @@ def default_models(scale: float = 1.0) -> list[ModelSpec]:
 
 @dataclass(frozen=True)
 class TrainingTable:
-    """A written table in time order: ``pos``, the features and the label."""
+    """A checkpointed table of ``pos``, the features and the label. Its
+    partitions are fixed and hold positions evenly, so fits on any leading part
+    are balanced, need no shuffle of their own, and give the same trees for the
+    same seed."""
 
     df: DataFrame
     rows: int
@@ -98,30 +101,29 @@ class TrainingTable:
     pos: str = "pos"
 
     def first(self, rows: int) -> TrainingTable:
-        """The part before position ``rows``; the files hold position ranges, so
-        later ones are skipped by their statistics."""
+        """The part before position ``rows``."""
         return replace(self, df=self.df.where(F.col(self.pos) < rows), rows=rows)
 
     def between(self, start: int, stop: int) -> DataFrame:
         return self.df.where((F.col(self.pos) >= start) & (F.col(self.pos) < stop))
 
 
+def lay_out(placed: DataFrame, rows: int, features: Sequence[str], label: str = "label") -> TrainingTable:
+    """Fix a positioned feature table for fitting. The number of partitions
+    follows from the row count alone."""
+    per_part = max(25_000, -(-rows // 10_000))
+    kept = placed.select("pos", *features, label)
+    return TrainingTable(fixed_partitions(kept, max(1, -(-rows // per_part)), "pos"), rows, tuple(features), label)
+
+
 def training_table(
     df: DataFrame, order: TimeOrder, features: Sequence[str], label: str = "label"
 ) -> TrainingTable:
-    """Put all series of a feature table in one time order and write it once;
-    every fit, score and search reads this copy."""
+    """Put all series of a feature table in one time order. The features are
+    written first, since counting, sorting and numbering each read them."""
     timeline = TimeOrder(order.ts, ties=(*order.ties, *order.keys))
-    kept = df.select(*order.all_cols, *features, label)
-    written = materialise(with_position(kept, timeline), "training")
-    return TrainingTable(written, written.count(), tuple(features), label)
-
-
-def stable_rows(df: DataFrame, rows: int, pos: str) -> DataFrame:
-    """Partitions and row order that depend on nothing but the row count and the
-    positions, so that equal seeds give equal trees."""
-    per_part = max(25_000, -(-rows // 10_000))
-    return df.repartition(max(1, -(-rows // per_part)), F.col(pos)).sortWithinPartitions(pos)
+    written = materialise(df.select(*order.all_cols, *features, label), "features")
+    return lay_out(with_position(written, timeline), written.count(), features, label)
 
 
 def _share(features: float | str) -> str:
@@ -181,14 +183,10 @@ def _ridge_estimator(train: DataFrame, spec: ModelSpec, label: str) -> LinearReg
 
 def fit(spec: ModelSpec, table: TrainingTable) -> Model:
     """Fit on all rows of ``table``. The result adds ``prediction``."""
-    spark = table.df.sparkSession
     assembler = VectorAssembler(inputCols=list(table.features), outputCol="__features")
     train = table.df.select(table.pos, *table.features, table.label)
     if spec.family == "ridge":
         return Pipeline(stages=[assembler, _ridge_estimator(train, spec, table.label)]).fit(train)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
-    train = stable_rows(train, table.rows, table.pos)
     return Pipeline(stages=[assembler, estimator(spec, table.label)]).fit(train)
 
 

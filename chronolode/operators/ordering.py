@@ -18,12 +18,14 @@ from pyspark.sql import functions as F
 from chronolode.sources.scratch import materialise
 
 MAX_SERIES_ROWS = 1_000_000
+MAX_PARTS = 10_000
 
 
 @dataclass(frozen=True)
 class TimeOrder:
     """Row order of a table: by ``ts``, then ``ties``, within ``keys``. The
-    columns ``keys + ts + ties`` together must be unique and ``ts`` not null."""
+    columns ``keys + ts + ties`` together must be unique, ``keys`` and ``ts`` not
+    null. ``pos`` and ``block_rows`` are set by ``prepare_series``."""
 
     ts: str
     ties: tuple[str, ...] = ()
@@ -58,81 +60,76 @@ def longest_series(df: DataFrame, order: TimeOrder) -> int:
     return sizes.agg(F.max("n")).first()[0] or 0
 
 
-def _reject_null_ts(df: DataFrame, order: TimeOrder) -> DataFrame:
-    checked = F.when(F.col(order.ts).isNotNull(), F.col(order.ts)).otherwise(
-        F.raise_error(F.lit(f"null in time column {order.ts}")).cast(df.schema[order.ts].dataType)
-    )
-    return df.withColumn(order.ts, checked) if df.schema[order.ts].nullable else df
+def _reject_nulls(df: DataFrame, order: TimeOrder) -> DataFrame:
+    """Rows without a time or key have no place in a series; meeting one is an
+    error rather than a silent loss."""
+    checked = {}
+    for c in [*order.keys, order.ts]:
+        field = df.schema[c]
+        if field.nullable:
+            fail = F.raise_error(F.lit(f"null in {c}")).cast(field.dataType)
+            checked[c] = F.when(F.col(c).isNotNull(), F.col(c)).otherwise(fail)
+    return df.withColumns(checked) if checked else df
 
 
 def with_position(
     df: DataFrame, order: TimeOrder, out: str = "pos", max_series_rows: int = MAX_SERIES_ROWS
 ) -> DataFrame:
     """Add the dense 0-based position of each row in its series."""
-    return _with_position(df, order, out, max_series_rows, longest_series(df, order))
-
-
-def _with_position(df: DataFrame, order: TimeOrder, out: str, max_series_rows: int, longest: int) -> DataFrame:
-    df = _reject_null_ts(df, order)
-    if longest <= max_series_rows:
-        return df.withColumn(out, (F.row_number().over(order.window()) - 1).cast("long"))
-    return _position_by_range(df, order, out, max_series_rows)
+    if longest_series(df, order) <= max_series_rows:
+        placed = (F.row_number().over(order.window()) - 1).cast("long")
+        return _reject_nulls(df, order).withColumn(out, placed)
+    laid = _time_layout(df, order, max_series_rows)
+    runs = laid.groupBy("__part", *order.keys).agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
+    earlier = F.sum("__n").over(
+        Window.partitionBy(*order.keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    # One run per series and partition it touches: as many as there are series,
+    # plus one per partition. A long series is spread over its partitions.
+    starts = runs.select("__part", *order.keys, (F.col("__first") - F.coalesce(earlier, F.lit(0))).alias("__start"))
+    placed = laid.join(starts, ["__part", *order.keys])
+    return placed.select(*df.columns, (F.col("__row") - F.col("__start")).cast("long").alias(out))
 
 
-def _position_by_range(df: DataFrame, order: TimeOrder, out: str, part_rows: int) -> DataFrame:
-    """Positions when a series is too long for one task.
+def _time_layout(df: DataFrame, order: TimeOrder, part_rows: int) -> DataFrame:
+    """The table sorted by (keys, order) over range partitions, with ``__part``
+    and the row's place ``__row`` in it.
 
-    The table is range-partitioned by (keys, order) and written once, so its
-    partition numbers are fixed data and not recomputed. A row's place within
-    its partition needs no window. What earlier partitions hold of the same
-    series is one row per partition at most, whatever the number of keys,
-    because only the first series of a partition can have begun before it.
+    It is written once: afterwards partition numbers are data, which a lost
+    executor cannot change. Sorting spills, so large partitions are slow at worst.
     """
-    rows = df.count()
-    parts = max(2, -(-rows // part_rows))
+    parts = min(MAX_PARTS, max(2, -(-df.count() // part_rows)))
     cols = [F.col(c) for c in order.all_cols]
-    laid = materialise(
-        df.repartitionByRange(parts, *cols)
+    return materialise(
+        _reject_nulls(df, order)
+        .repartitionByRange(parts, *cols)
         .sortWithinPartitions(*cols)
         .withColumn("__part", F.spark_partition_id())
         .withColumn("__row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)),
         "time-order",
     )
-    runs = laid.groupBy("__part", *order.keys).agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
-    earlier = F.sum("__n").over(
-        Window.partitionBy(*order.keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    runs = runs.withColumn("__earlier", F.coalesce(earlier, F.lit(0)))
-    if not order.keys:
-        # one row per partition
-        carried = laid.join(F.broadcast(runs.select("__part", "__earlier")), "__part")
-        place = F.col("__row")
-    else:
-        # at most one row per partition continues a series
-        carry = runs.where(F.col("__earlier") > 0).select("__part", *order.keys, "__earlier")
-        within = Window.partitionBy("__part", *order.keys).orderBy("__row")
-        numbered = laid.withColumn("__place", F.row_number().over(within) - 1)
-        right = F.broadcast(carry).alias("r")
-        left = numbered.alias("l")
-        same = F.col("l.__part") == F.col("r.__part")
-        for k in order.keys:
-            same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-        carried = left.join(right, same, "left").select("l.*", "r.__earlier")
-        place = F.col("__place")
-    return carried.withColumn(out, (place + F.coalesce("__earlier", F.lit(0))).cast("long")).select(*df.columns, out)
 
 
 def prepare_series(
     df: DataFrame, order: TimeOrder, max_series_rows: int = MAX_SERIES_ROWS
 ) -> tuple[DataFrame, TimeOrder]:
     """Measure the longest series and choose how windows will run. Returns the
-    table and the order to hand to the series operators; for long series the
-    table gains a stored position column ``__pos``."""
-    longest = longest_series(df, order)
-    if longest <= max_series_rows:
-        return _reject_null_ts(df, order), replace(order, pos=None, block_rows=None)
-    placed = _with_position(df, order, "__pos", max_series_rows, longest)
-    return materialise(placed, "positions"), replace(order, pos="__pos", block_rows=max_series_rows)
+    table and the order to hand to the series operators.
+
+    For long series the table gains ``__pos``, a number over all rows in (keys,
+    order) order; within a series it counts up by one, which is all that lags and
+    gaps need. It is the row's place plus the sizes of earlier partitions, a
+    table of at most ``MAX_PARTS`` rows."""
+    if longest_series(df, order) <= max_series_rows:
+        return _reject_nulls(df, order), replace(order, pos=None, block_rows=None)
+    laid = _time_layout(df, order, max_series_rows)
+    sizes = laid.groupBy("__part").agg(F.count("*").alias("__n"))
+    earlier = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("__part", F.coalesce(earlier, F.lit(0)).alias("__earlier"))
+    placed = laid.join(F.broadcast(offsets), "__part").select(
+        *df.columns, (F.col("__row") + F.col("__earlier")).cast("long").alias("__pos")
+    )
+    return placed, replace(order, pos="__pos", block_rows=max_series_rows)
 
 
 def block_of(order: TimeOrder) -> Column:

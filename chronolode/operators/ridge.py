@@ -37,10 +37,9 @@ def sums_of_products(table: TrainingTable, segment, center: Sequence[float]) ->
             for s in np.unique(at):
                 part = rows[at == s]
                 totals[int(s)] = totals.get(int(s), 0) + part.T @ part
+        i, j = np.triu_indices(p)
         for s, m in totals.items():
-            yield pd.DataFrame(
-                {"segment": s, "i": np.repeat(np.arange(p), p), "j": np.tile(np.arange(p), p), "s": m.ravel()}
-            )
+            yield pd.DataFrame({"segment": s, "i": i, "j": j, "s": m[i, j]})
 
     parts = table.df.select(segment.alias("__segment"), *[F.col(c).cast("double") for c in names])
     cells = (
@@ -51,7 +50,8 @@ def sums_of_products(table: TrainingTable, segment, center: Sequence[float]) ->
     )
     found: dict[int, np.ndarray] = {}
     for c in cells:
-        found.setdefault(c["segment"], np.zeros((p, p)))[c["i"], c["j"]] = c["s"]
+        m = found.setdefault(c["segment"], np.zeros((p, p)))
+        m[c["i"], c["j"]] = m[c["j"], c["i"]] = c["s"]
     return found
 
 

@@ -114,19 +114,15 @@ def _interpolate_blocks(df: DataFrame, col: str, order: TimeOrder, out: str, met
         F.last("last", True).over(along.rowsBetween(*others)).alias("__carry_before"),
         F.last("first", True).over(against.rowsBetween(*others)).alias("__carry_after"),
     )
-    left, right = blocked.alias("l"), carry.alias("r")
-    same = F.col("l.__b") == F.col("r.__b")
-    for k in keys:
-        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-    joined = left.join(right, same, "left").select("l.*", "r.__carry_before", "r.__carry_after")
+    # The windows partition by the join keys, so the rows are shuffled once.
     inside = Window.partitionBy(*keys, "__b")
     upto = (Window.unboundedPreceding, Window.currentRow)
-    before = F.coalesce(
-        F.last(point, True).over(inside.orderBy(order.pos).rowsBetween(*upto)), F.col("__carry_before")
-    )
-    after = F.coalesce(
-        F.last(point, True).over(inside.orderBy(F.col(order.pos).desc()).rowsBetween(*upto)), F.col("__carry_after")
-    )
+    near = blocked.withColumn(
+        "__near_after", F.last(point, True).over(inside.orderBy(F.col(order.pos).desc()).rowsBetween(*upto))
+    ).withColumn("__near_before", F.last(point, True).over(inside.orderBy(order.pos).rowsBetween(*upto)))
+    joined = near.join(carry, [*keys, "__b"])
+    before = F.coalesce("__near_before", "__carry_before")
+    after = F.coalesce("__near_after", "__carry_after")
     filled = joined.withColumn("__after", after).withColumn("__before", before)
     before, after = F.col("__before"), F.col("__after")
     return filled.withColumn(out, _fill(col, before, pos - before["p"], after, after["p"] - pos, method))

@@ -4,7 +4,8 @@ Intermediate tables that are read more than once (a time-ordered layout, a
 feature table, one level of itemsets) are written as parquet into
 ``spark.checkpoint.dir``. Unlike a cached table they survive the loss of an
 executor, and unlike ``DataFrame.checkpoint`` they keep column pruning, filter
-pushdown and size statistics for the jobs that follow.
+pushdown and size statistics for the jobs that follow. Only where the partitions
+themselves must stay fixed is ``checkpoint`` used.
 """
 
 from __future__ import annotations
@@ -34,9 +35,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` once and return a DataFrame that reads the written copy."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def fixed_partitions(df: DataFrame, parts: int, by: str) -> DataFrame:
+    """Checkpoint ``df`` in exactly ``parts`` partitions by a hash of ``by``, each
+    sorted by it. Unlike a file scan, whose partitions depend on the number of
+    cores, every reader gets the same rows in the same partition and order."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(checkpoint_folder(spark))
+    return df.repartition(parts, by).sortWithinPartitions(by).checkpoint()
