@@ -133,8 +133,7 @@ def prepare_series(
 
 
 def block_of(order: TimeOrder) -> Column:
-    size = F.lit(order.block_rows).cast("long")
-    return ((F.col(order.pos) - F.col(order.pos) % size) / size).cast("long")
+    return F.expr(f"`{order.pos}` div {order.block_rows}")
 
 
 def over_series(

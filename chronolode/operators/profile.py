@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from chronolode.functions.encoding import band
 from chronolode.functions.quantiles import MAX_ROWS, grouped_quantiles, quantile
 from chronolode.operators.series import series
+from chronolode.sources.scratch import materialise
 
 
 def missing_by_period(df: DataFrame, col: str, ts: str, unit: str = "month") -> DataFrame:
@@ -86,12 +87,17 @@ def box_stats(
     and never lies inside the box."""
     spark = df.sparkSession
     kept = df.where(F.col(key).isin(*domain) & F.col(col).isNotNull()).select(key, F.col(col).cast("double").alias("v"))
-    box = grouped_quantiles(kept, key, "v", [0.25, 0.5, 0.75], max_rows).select(
-        key,
-        "n",
-        F.col("q")[0].alias("q1"),
-        F.col("q")[1].alias("median"),
-        F.col("q")[2].alias("q3"),
+    quartiles = grouped_quantiles(kept, key, "v", [0.25, 0.5, 0.75], max_rows)
+    # written, because it is read twice and costs a pass over the table
+    box = materialise(
+        quartiles.select(
+            key,
+            "n",
+            F.col("q")[0].alias("q1"),
+            F.col("q")[1].alias("median"),
+            F.col("q")[2].alias("q3"),
+        ),
+        "quartiles",
     )
     reach = (F.col("q3") - F.col("q1")) * 1.5
     # the box table has one row per key of the given domain

@@ -101,9 +101,18 @@ def _interpolate_blocks(df: DataFrame, col: str, order: TimeOrder, out: str, met
     pos = F.col(order.pos)
     point = _point(col, order.pos)
     at = F.when(F.col(col).isNotNull(), pos)
+    value = F.col(col).cast("double")
     blocked = df.withColumn("__b", block_of(order))
+    # plain numbers as aggregate buffers, so that rows are hashed and not sorted
     ends = blocked.groupBy(*keys, "__b").agg(
-        F.min_by(point, at).alias("first"), F.max_by(point, at).alias("last")
+        F.min(at).alias("first_p"),
+        F.min_by(value, at).alias("first_v"),
+        F.max(at).alias("last_p"),
+        F.max_by(value, at).alias("last_v"),
+    )
+    first, last = (
+        F.when(F.col(f"{end}_p").isNotNull(), F.struct(F.col(f"{end}_p").alias("p"), F.col(f"{end}_v").alias("v")))
+        for end in ("first", "last")
     )
     along = Window.partitionBy(*keys).orderBy("__b")
     against = Window.partitionBy(*keys).orderBy(F.col("__b").desc())
@@ -111,8 +120,8 @@ def _interpolate_blocks(df: DataFrame, col: str, order: TimeOrder, out: str, met
     carry = ends.select(
         *keys,
         "__b",
-        F.last("last", True).over(along.rowsBetween(*others)).alias("__carry_before"),
-        F.last("first", True).over(against.rowsBetween(*others)).alias("__carry_after"),
+        F.last(last, True).over(along.rowsBetween(*others)).alias("__carry_before"),
+        F.last(first, True).over(against.rowsBetween(*others)).alias("__carry_after"),
     )
     # The windows partition by the join keys, so the rows are shuffled once.
     inside = Window.partitionBy(*keys, "__b")
