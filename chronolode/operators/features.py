@@ -10,8 +10,15 @@ from pyspark.sql import functions as F
 
 from chronolode.functions.calendar import add_calendar, cyclical
 from chronolode.functions.encoding import category_levels, one_hot
-from chronolode.operators.ordering import TimeOrder, over_series
-from chronolode.operators.series import complete_rows, interpolate_linear, lag_of, lead_of, rolling_mean_of
+from chronolode.operators.ordering import TimeOrder, block_window, drop_copies, over_series, spread_blocks
+from chronolode.operators.series import (
+    complete_rows,
+    fill_blocks,
+    interpolate_linear,
+    lag_of,
+    lead_of,
+    rolling_mean_of,
+)
 
 
 @dataclass(frozen=True)
@@ -63,12 +70,19 @@ def _feature_columns(
     needed = {spec.label, *spec.numeric, *([spec.category] if spec.category else []), *order.all_cols}
     if order.pos:
         needed.add(order.pos)
-    filled = interpolate_linear(df.select(*[c for c in df.columns if c in needed]), spec.label, order, method=spec.fill)
+    kept = df.select(*[c for c in df.columns if c in needed])
     exprs = {f"lag_{k}": lag_of(spec.label, k) for k in spec.lags}
     exprs |= {f"roll_mean_{w}": rolling_mean_of(spec.label, w) for w in spec.windows}
     exprs |= {f"__y{h}": lead_of(spec.label, h) for h in horizons}
-    back = max([0, *spec.lags, *spec.windows])
-    wide = over_series(filled, order, exprs, back=back, ahead=max([0, *horizons]))
+    back, ahead = max([0, *spec.lags, *spec.windows]), max([0, *horizons])
+    if order.block_rows is None:
+        wide = over_series(interpolate_linear(kept, spec.label, order, method=spec.fill), order, exprs)
+    else:
+        # fill and windows on the same blocks: the rows are shuffled once
+        spread = spread_blocks(kept, order, back, ahead)
+        filled = fill_blocks(spread, kept, spec.label, order, spec.label, spec.fill, back, ahead)
+        w = block_window(order)
+        wide = drop_copies(filled.select("*", *[f(w).alias(name) for name, f in exprs.items()]))
     if spec.category:
         wide = one_hot(wide, spec.category, spec.category_prefix, spec.levels)
     if spec.calendar:

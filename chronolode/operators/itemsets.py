@@ -8,6 +8,7 @@ one row per input task. Every level then runs over distinct baskets only.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from chronolode.functions.encoding import ItemRule, discretize, to_transactions
 from chronolode.sources.scratch import materialise
 
+MAX_SUBSETS = 50_000_000
+
 
 def distinct_baskets(tx: DataFrame, items: str = "items") -> DataFrame:
     """Distinct item arrays and how many transactions have each."""
@@ -72,21 +75,54 @@ def _extend(held: DataFrame) -> DataFrame:
     )
 
 
+def _subsets(baskets: DataFrame, max_len: int) -> DataFrame:
+    """Every subset of up to ``max_len`` items of every basket."""
+    sets = F.transform("items", lambda x: F.array(x))
+    rows = baskets.withColumn("__1", sets)
+    for k in range(2, max_len + 1):
+        grown = F.transform(
+            f"__{k - 1}",
+            lambda s: F.transform(
+                F.filter("items", lambda x: x > F.element_at(s, -1)), lambda x: F.concat(s, F.array(x))
+            ),
+        )
+        rows = rows.withColumn(f"__{k}", F.flatten(grown))
+    every = F.flatten(F.array(*[f"__{k}" for k in range(1, max_len + 1)]))
+    return rows.select("w", F.explode(every).alias("itemset"))
+
+
 def frequent_itemsets(
-    tx: DataFrame, min_support: float = 0.05, max_len: int = 3, items: str = "items"
+    tx: DataFrame,
+    min_support: float = 0.05,
+    max_len: int = 3,
+    items: str = "items",
+    max_subsets: int = MAX_SUBSETS,
 ) -> DataFrame:
     """All itemsets of up to ``max_len`` items held by at least ``min_support``
     of the transactions, as ``(itemset, n_tx, support)``.
 
-    ``items`` must be sorted arrays without repeats. Level by level, each basket
-    extends the frequent sets it holds by one of its own items; sets that are no
-    candidates go by semi-join before counting. A level's table is small (its
-    size times ``min_support`` cannot exceed the sets per basket) and is written
-    once; Spark broadcasts it when its measured size allows.
+    ``items`` must be sorted arrays without repeats. Tables of a few categorical
+    columns have few distinct baskets whatever their length; when all of their
+    subsets number at most ``max_subsets``, one aggregate counts them. Otherwise
+    mining goes level by level and a set is only counted when all of its subsets
+    are frequent. The results are the same.
     """
     baskets = materialise(distinct_baskets(tx, items), "baskets")
-    n = baskets.agg(F.sum("w")).first()[0] or 0
-    level = materialise(_level_one(baskets, max(n, 1), min_support), "itemsets")
+    widths = baskets.groupBy(F.size("items").alias("m")).agg(F.count("*").alias("n"), F.sum("w").alias("w")).collect()
+    n = sum(r["w"] for r in widths)
+    subsets = sum(r["n"] * comb(r["m"], k) for r in widths for k in range(1, max_len + 1))
+    if subsets <= max_subsets:
+        counts = _subsets(baskets, max_len).groupBy("itemset").agg(F.sum("w").alias("n_tx"))
+        return materialise(_frequent(counts, max(n, 1), min_support), "itemsets")
+    return _by_level(baskets, n, min_support, max_len)
+
+
+def _by_level(baskets: DataFrame, n: int, min_support: float, max_len: int) -> DataFrame:
+    """Level by level: each basket extends the frequent sets it holds by one of
+    its own items; sets that are no candidates go by semi-join before counting.
+    A level is small (its size times ``min_support`` cannot exceed the sets per
+    basket) and is written once; Spark broadcasts it when its size allows."""
+    level = materialise(_level_one(baskets, n, min_support), "itemsets")
     found = level
     known = level.select(F.col("itemset")[0].alias("item"))
     held = (

@@ -132,8 +132,36 @@ def prepare_series(
     return placed, replace(order, pos="__pos", block_rows=max_series_rows)
 
 
-def block_of(order: TimeOrder) -> Column:
-    return F.expr(f"`{order.pos}` div {order.block_rows}")
+def block_of(order: TimeOrder, shift: int = 0) -> Column:
+    """Block number of the position ``shift`` rows further on."""
+    if shift < 0:  # ``div`` rounds towards zero; keep its argument positive
+        return F.expr(f"(`{order.pos}` + {order.block_rows + shift}) div {order.block_rows} - 1")
+    return F.expr(f"(`{order.pos}` + {shift}) div {order.block_rows}")
+
+
+def spread_blocks(df: DataFrame, order: TimeOrder, back: int = 0, ahead: int = 0) -> DataFrame:
+    """Add ``__block``, and copy the last ``back`` rows of a block to the next one
+    and the first ``ahead`` rows to the one before. ``__home`` is the block that a
+    row belongs to."""
+    size = order.block_rows
+    if max(back, ahead) > size:
+        raise ValueError(f"blocks of {size} rows cannot serve windows of {max(back, ahead)}")
+    placed = df.withColumn("__home", block_of(order))
+    if not back and not ahead:
+        return placed.withColumn("__block", F.col("__home"))
+    place = F.col(order.pos) % F.lit(size).cast("long")
+    home = F.col("__home")
+    copies = [home, F.when(place >= size - back, home + 1), F.when((place < ahead) & (home > 0), home - 1)]
+    return placed.withColumn("__block", F.explode(F.array_compact(F.array(*copies))))
+
+
+def block_window(order: TimeOrder, descending: bool = False) -> WindowSpec:
+    pos = F.col(order.pos)
+    return Window.partitionBy(*order.keys, "__block").orderBy(pos.desc() if descending else pos.asc())
+
+
+def drop_copies(spread: DataFrame) -> DataFrame:
+    return spread.where(F.col("__home") == F.col("__block")).drop("__home", "__block")
 
 
 def over_series(
@@ -144,32 +172,18 @@ def over_series(
     ahead: int = 0,
 ) -> DataFrame:
     """Add window expressions that look at most ``back`` rows behind and
-    ``ahead`` rows ahead. All of them share one exchange and one sort.
+    ``ahead`` rows ahead. All of them share one exchange and one sort. With
+    blocks, copied neighbour rows make every value equal that of the single
+    window."""
+    kept = [c for c in df.columns if c not in exprs]
+
+    def added(rows: DataFrame, w: WindowSpec) -> DataFrame:
+        helpers = [c for c in ("__home", "__block") if c in rows.columns]
+        return rows.select(*kept, *helpers, *[f(w).alias(name) for name, f in exprs.items()])
 
-    With blocks, the last ``back`` rows of a block are copied to the next one and
-    the first ``ahead`` rows to the one before; copies are dropped again after
-    the window, so every value equals that of the single window.
-    """
-    if not exprs:
-        return df
-    replaced = [c for c in df.columns if c not in exprs]
     if order.block_rows is None:
-        w = order.window()
-        return df.select(*replaced, *[f(w).alias(name) for name, f in exprs.items()])
-    size = order.block_rows
-    if max(back, ahead) > size:
-        raise ValueError(f"blocks of {size} rows cannot serve windows of {max(back, ahead)}")
-    place = F.col(order.pos) % F.lit(size).cast("long")
-    home = block_of(order)
-    copies = [home]
-    if back:
-        copies.append(F.when(place >= size - back, home + 1))
-    if ahead:
-        copies.append(F.when((place < ahead) & (home > 0), home - 1))
-    spread = df.withColumn("__home", home).withColumn("__block", F.explode(F.array_compact(F.array(*copies))))
-    w = Window.partitionBy(*order.keys, "__block").orderBy(order.pos)
-    done = spread.select(*replaced, "__home", "__block", *[f(w).alias(name) for name, f in exprs.items()])
-    return done.where(F.col("__home") == F.col("__block")).drop("__home", "__block")
+        return added(df, order.window())
+    return drop_copies(added(spread_blocks(df, order, back, ahead), block_window(order)))
 
 
 def holdout_split(df: DataFrame, frac: float = 0.2, pos: str = "pos", rows: int | None = None) -> DataFrame:

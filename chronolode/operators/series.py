@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolode.operators.ordering import TimeOrder, block_of, over_series
+from chronolode.operators.ordering import (
+    TimeOrder,
+    block_of,
+    block_window,
+    drop_copies,
+    over_series,
+    spread_blocks,
+)
 
 
 def lag_of(col: str, k: int):
@@ -78,8 +85,8 @@ def interpolate_linear(
     out = out or col
     names = list(df.columns) if out in df.columns else [*df.columns, out]
     if order.block_rows is not None:
-        filled = _interpolate_blocks(df, col, order, out, method)
-        return filled.select(*names)
+        spread = fill_blocks(spread_blocks(df, order), df, col, order, out, method)
+        return drop_copies(spread).select(*names)
     up, down = order.window(), order.window(descending=True)
     upto = (Window.unboundedPreceding, Window.currentRow)
     # The neighbour ahead is the last one seen in descending order: a running
@@ -94,47 +101,50 @@ def interpolate_linear(
     return placed.withColumn(out, fill).select(*names)
 
 
-def _interpolate_blocks(df: DataFrame, col: str, order: TimeOrder, out: str, method: str) -> DataFrame:
-    """Fill inside each block, and across block edges from a table that holds one
-    row per block: the nearest value before the block and after it."""
+def _carried(df: DataFrame, col: str, order: TimeOrder, forward: bool, reach: int) -> DataFrame:
+    """For each block: the nearest value beyond its first row (``forward``) or its
+    last one, copied rows included. A table with one row per block, out of an
+    aggregate that is combined before the shuffle."""
     keys = list(order.keys)
-    pos = F.col(order.pos)
-    point = _point(col, order.pos)
-    at = F.when(F.col(col).isNotNull(), pos)
+    at = F.when(F.col(col).isNotNull(), F.col(order.pos))
     value = F.col(col).cast("double")
-    blocked = df.withColumn("__b", block_of(order))
+    # Moved by ``reach``, a group ends where the copied rows of a block begin.
+    block = block_of(order, reach if forward else -reach)
     # plain numbers as aggregate buffers, so that rows are hashed and not sorted
-    ends = blocked.groupBy(*keys, "__b").agg(
-        F.min(at).alias("first_p"),
-        F.min_by(value, at).alias("first_v"),
-        F.max(at).alias("last_p"),
-        F.max_by(value, at).alias("last_v"),
-    )
-    first, last = (
-        F.when(F.col(f"{end}_p").isNotNull(), F.struct(F.col(f"{end}_p").alias("p"), F.col(f"{end}_v").alias("v")))
-        for end in ("first", "last")
+    ends = df.groupBy(*keys, block.alias("__block")).agg(
+        (F.max(at) if forward else F.min(at)).alias("p"),
+        (F.max_by(value, at) if forward else F.min_by(value, at)).alias("v"),
     )
-    along = Window.partitionBy(*keys).orderBy("__b")
-    against = Window.partitionBy(*keys).orderBy(F.col("__b").desc())
-    others = (Window.unboundedPreceding, -1)
-    carry = ends.select(
-        *keys,
-        "__b",
-        F.last(last, True).over(along.rowsBetween(*others)).alias("__carry_before"),
-        F.last(first, True).over(against.rowsBetween(*others)).alias("__carry_after"),
-    )
-    # The windows partition by the join keys, so the rows are shuffled once.
-    inside = Window.partitionBy(*keys, "__b")
+    along = F.col("__block").asc() if forward else F.col("__block").desc()
+    others = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    end = F.when(F.col("p").isNotNull(), F.struct("p", "v"))
+    return ends.select(*keys, "__block", F.last(end, True).over(others).alias("__from_before" if forward else "__from_after"))
+
+
+def fill_blocks(
+    spread: DataFrame, df: DataFrame, col: str, order: TimeOrder, out: str, method: str, back: int = 0, ahead: int = 0
+) -> DataFrame:
+    """Fill gaps in the blocks of ``spread``, which came from ``df`` with the same
+    ``back`` and ``ahead``. Neighbours inside a block come from windows, those
+    beyond it from ``_carried``. The windows partition by the join keys, so the
+    rows are shuffled once."""
     upto = (Window.unboundedPreceding, Window.currentRow)
-    near = blocked.withColumn(
-        "__near_after", F.last(point, True).over(inside.orderBy(F.col(order.pos).desc()).rowsBetween(*upto))
-    ).withColumn("__near_before", F.last(point, True).over(inside.orderBy(order.pos).rowsBetween(*upto)))
-    joined = near.join(carry, [*keys, "__b"])
-    before = F.coalesce("__near_before", "__carry_before")
-    after = F.coalesce("__near_after", "__carry_after")
-    filled = joined.withColumn("__after", after).withColumn("__before", before)
+    up, down = block_window(order), block_window(order, descending=True)
+    point = _point(col, order.pos)
+    on = [*order.keys, "__block"]
+    joined = (
+        spread.withColumn("__after", F.last(point, True).over(down.rowsBetween(*upto)))
+        .withColumn("__before", F.last(point, True).over(up.rowsBetween(*upto)))
+        .join(_carried(df, col, order, True, back), on, "left")
+        .join(_carried(df, col, order, False, ahead), on, "left")
+    )
+    before = F.coalesce("__before", "__from_before")
+    after = F.coalesce("__after", "__from_after")
+    near = joined.withColumns({"__before": before, "__after": after})
     before, after = F.col("__before"), F.col("__after")
-    return filled.withColumn(out, _fill(col, before, pos - before["p"], after, after["p"] - pos, method))
+    pos = F.col(order.pos)
+    filled = near.withColumn(out, _fill(col, before, pos - before["p"], after, after["p"] - pos, method))
+    return filled.drop("__before", "__after", "__from_before", "__from_after")
 
 
 def series(df: DataFrame, ts: str, col: str) -> DataFrame:

@@ -83,6 +83,13 @@ def itemsets_up_to_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_itemset_text(frequent_itemsets(baskets(spark, sf_dir), 0.02, 3)), "support", places=9)
 
 
+@query(f"with {itemsets_sql(0.006, 4)} select s as itemset, n_tx, round(support, 9) as support from freq")
+def itemsets_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path for many distinct baskets, forced at any scale."""
+    found = frequent_itemsets(baskets(spark, sf_dir), 0.006, 4, max_subsets=0)
+    return rounded(_itemset_text(found), "support", places=9)
+
+
 @query(f"with {rules_sql(0.02, 3, 0.2)} select {_RULE_SQL} from rules")
 def rules_all_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rules(association_rules(frequent_itemsets(baskets(spark, sf_dir), 0.02, 3), 0.2))
