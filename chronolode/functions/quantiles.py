@@ -189,18 +189,18 @@ def grouped_quantiles(
     ``max_rows`` values (there are at most rows / max_rows of them) are narrowed
     range by range, the others take one aggregate."""
     value = F.col(col).cast("double")
-    kept = df.select(key, value.alias("v")).where(F.col("v").isNotNull() & F.col(key).isNotNull())
+    kept = df.select(key, value.alias("__v")).where(F.col("__v").isNotNull() & F.col(key).isNotNull())
     sizes = kept.groupBy(key).agg(F.count("*").alias("n"))
     large = {r[key]: r["n"] for r in sizes.where(F.col("n") > max_rows).collect()}
     rest = kept.where(~F.col(key).isin(*large)) if large else kept
-    small = rest.groupBy(key).agg(F.count("*").alias("n"), F.percentile("v", _probs(probs)).alias("q"))
+    small = rest.groupBy(key).agg(F.count("*").alias("n"), F.percentile("__v", _probs(probs)).alias("q"))
     if not large:
         return small
     names = list(large)
     rows = []
     for i in range(0, len(names), 24):
         part = names[i : i + 24]
-        masked = [F.when(F.col(key) == F.lit(k), F.col("v")) for k in part]
+        masked = [F.when(F.col(key) == F.lit(k), F.col("__v")) for k in part]
         for k, q in zip(part, _edges(kept.where(F.col(key).isin(*part)), masked, probs, max_rows)):
             rows.append((k, large[k], q))
     return small.unionByName(df.sparkSession.createDataFrame(rows, small.schema))

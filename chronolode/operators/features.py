@@ -112,5 +112,5 @@ def horizon_features(df: DataFrame, spec: FeatureSpec, order: TimeOrder, horizon
     wide, spec = _feature_columns(df, spec, order, horizons)
     targets = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"__y{h}").alias("label")) for h in horizons])
     kept = complete_rows(wide.select(*order.all_cols, *spec.columns, targets.alias("__t")))
-    stacked = kept.select(*order.all_cols, *spec.columns, F.explode("__t").alias("t"))
-    return complete_rows(stacked.select(F.col("t.horizon"), *order.all_cols, *spec.columns, F.col("t.label")))
+    stacked = kept.select(*order.all_cols, *spec.columns, F.explode("__t").alias("__target"))
+    return complete_rows(stacked.select(F.col("__target.horizon"), *order.all_cols, *spec.columns, F.col("__target.label")))

@@ -86,8 +86,8 @@ def box_stats(
     A whisker is the most extreme value within 1.5 quartile ranges of the box,
     and never lies inside the box."""
     spark = df.sparkSession
-    kept = df.where(F.col(key).isin(*domain) & F.col(col).isNotNull()).select(key, F.col(col).cast("double").alias("v"))
-    quartiles = grouped_quantiles(kept, key, "v", [0.25, 0.5, 0.75], max_rows)
+    kept = df.where(F.col(key).isin(*domain) & F.col(col).isNotNull()).select(key, F.col(col).cast("double").alias("__v"))
+    quartiles = grouped_quantiles(kept, key, "__v", [0.25, 0.5, 0.75], max_rows)
     # written, because it is read twice and costs a pass over the table
     box = materialise(
         quartiles.select(
@@ -105,8 +105,8 @@ def box_stats(
         kept.join(F.broadcast(box), key)
         .groupBy(key)
         .agg(
-            F.min(F.when(F.col("v") >= F.col("q1") - reach, F.col("v"))).alias("lo"),
-            F.max(F.when(F.col("v") <= F.col("q3") + reach, F.col("v"))).alias("hi"),
+            F.min(F.when(F.col("__v") >= F.col("q1") - reach, F.col("__v"))).alias("lo"),
+            F.max(F.when(F.col("__v") <= F.col("q3") + reach, F.col("__v"))).alias("hi"),
         )
     )
     frame = spark.createDataFrame([(k,) for k in domain], df.select(key).schema)

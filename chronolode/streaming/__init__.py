@@ -1,0 +1,5 @@
+"""Row-wise operators on streaming tables."""
+
+from chronolode.streaming.rowwise import encode_stream, score_stream
+
+__all__ = ["encode_stream", "score_stream"]

@@ -1,0 +1,25 @@
+"""Operators that look at one row only work unchanged on a stream. Everything
+else here is a batch operator: it needs the whole table or whole series."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.ml import Transformer
+from pyspark.sql import DataFrame
+
+from chronolode.functions.encoding import ItemRule, Quantiles, discretize
+from chronolode.operators.models import score
+
+
+def encode_stream(stream: DataFrame, rules: Sequence[ItemRule], keep: Sequence[str] = ()) -> DataFrame:
+    """``discretize`` for a streaming table. Quantile rules need the whole column;
+    learn their edges on a batch and state them as ``Bands``."""
+    if any(isinstance(r, Quantiles) for r in rules):
+        raise ValueError("quantile rules need a batch table, use fixed bands")
+    return discretize(stream, rules, keep)
+
+
+def score_stream(model: Transformer, stream: DataFrame) -> DataFrame:
+    """Predictions of a fitted model for a streaming table of features."""
+    return score(model, stream)
