@@ -31,8 +31,9 @@ def rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(c, places) for c in cols})
 
 
-# Means of a few short decimals often lie exactly between two rounded values,
-# where engines round differently. A shift far below the last place decides.
+# Means of a few short decimals often lie exactly between two rounded values, and
+# sines next to zero on either side of it, where engines round differently. A
+# shift far below the last place decides.
 TIE_SHIFT = "2e-10"
 
 

@@ -31,7 +31,7 @@ from chronolode.plans.inputs import (
     some_blocks,
     user_events,
 )
-from chronolode.plans.registry import query, rounded, steady, steady_sql
+from chronolode.plans.registry import query, steady, steady_sql
 from chronolode.sources.tables import load
 
 
@@ -147,14 +147,14 @@ _CIRCLES = [("hour", 24), ("dow", 7), ("month", 12)]
 
 @query(
     "select event_id, hour, dow, month, "
-    + ", ".join(f"round({f}(2 * pi() * {c} / {n}.0), 6) as {c}_{f}" for c, n in _CIRCLES for f in ("sin", "cos"))
+    + ", ".join(f"{steady_sql(f'{f}(2 * pi() * {c} / {n}.0)')} as {c}_{f}" for c, n in _CIRCLES for f in ("sin", "cos"))
     + " from (select event_id, cast(hour(ts) as int) as hour, cast(isodow(ts) - 1 as int) as dow, "
     "cast(month(ts) as int) as month from events)"
 )
 def calendar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = add_calendar(load(spark, sf_dir, "events").select("event_id", "ts"), "ts").drop("ts")
     circled = add_cyclical(ev, dict(_CIRCLES))
-    return rounded(circled, *[f"{c}_{f}" for c, _ in _CIRCLES for f in ("sin", "cos")])
+    return steady(circled, *[f"{c}_{f}" for c, _ in _CIRCLES for f in ("sin", "cos")])
 
 
 @query("select event_id, row_number() over (partition by user_id order by ts, event_id) - 1 as pos from events")
@@ -209,7 +209,7 @@ def _features_sql(label: str, category: str, prefix: str, levels: tuple[str, ...
         return f"case when count(yf) over {frame} = {w} then {steady_sql(f"avg(yf) over {frame}")} end as roll_mean_{w}"
 
     circles = ", ".join(
-        f"round({f}(2 * pi() * {part} / {n}.0), 6) as {name}_{f}"
+        f"{steady_sql(f'{f}(2 * pi() * {part} / {n}.0)')} as {name}_{f}"
         for name, part, n in (("hour", "hour(ts)", 24), ("dow", "(isodow(ts) - 1)", 7), ("month", "month(ts)", 12))
         for f in ("sin", "cos")
     )
@@ -237,7 +237,7 @@ def feature_table_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _plain(built: DataFrame) -> DataFrame:
     circles = [f"{part}_{f}" for part, _ in _CIRCLES for f in ("sin", "cos")]
-    return steady(rounded(built, *circles), "lag_1", "lag_2", "roll_mean_6", "roll_mean_24", "label")
+    return steady(built, *circles, "lag_1", "lag_2", "roll_mean_6", "roll_mean_24", "label")
 
 
 _LONG_FEATURES = _features_sql(
