@@ -13,6 +13,20 @@ def add_calendar(df: DataFrame, ts: str, hour: str = "hour", dow: str = "dow", m
     return df.withColumns({hour: F.hour(ts), dow: F.weekday(ts), month: F.month(ts)})
 
 
+PERIODS = ("year", "month", "day", "hour")
+
+
+def period_start(ts: Column, unit: str) -> Column:
+    """First instant of the calendar period of a zone-free timestamp. Built from
+    its parts, so the zone of the session has no say in it."""
+    if unit not in PERIODS:
+        raise ValueError(f"unknown unit {unit!r}, one of {PERIODS}")
+    parts = [F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts)]
+    kept = PERIODS.index(unit) + 1
+    rest = [F.lit(1), F.lit(1), F.lit(1), F.lit(0)]
+    return F.make_timestamp_ntz(*parts[:kept], *rest[kept:], F.lit(0), F.lit(0))
+
+
 def cyclical(value: Column, period: float) -> tuple[Column, Column]:
     """Sine and cosine of a value on a circle of the given period."""
     angle = 2 * F.pi() * value / F.lit(float(period))

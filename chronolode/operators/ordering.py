@@ -51,13 +51,15 @@ def order_by_time(df: DataFrame, order: TimeOrder) -> DataFrame:
     return df.orderBy(*order.all_cols)
 
 
-def longest_series(df: DataFrame, order: TimeOrder) -> int:
-    """Rows of the longest series. Only the key columns are read and counts are
-    combined before the shuffle."""
+def series_sizes(df: DataFrame, order: TimeOrder) -> tuple[int, int]:
+    """Rows of the table and of its longest series. Only the key columns are
+    read, and counts are combined before the shuffle."""
     if not order.keys:
-        return df.count()
+        rows = df.count()
+        return rows, rows
     sizes = df.groupBy(*order.keys).agg(F.count("*").alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+    row = sizes.agg(F.sum("n").alias("rows"), F.max("n").alias("longest")).first()
+    return row["rows"] or 0, row["longest"] or 0
 
 
 def _reject_nulls(df: DataFrame, order: TimeOrder) -> DataFrame:
@@ -76,10 +78,11 @@ def with_position(
     df: DataFrame, order: TimeOrder, out: str = "pos", max_series_rows: int = MAX_SERIES_ROWS
 ) -> DataFrame:
     """Add the dense 0-based position of each row in its series."""
-    if longest_series(df, order) <= max_series_rows:
+    rows, longest = series_sizes(df, order)
+    if longest <= max_series_rows:
         placed = (F.row_number().over(order.window()) - 1).cast("long")
         return _reject_nulls(df, order).withColumn(out, placed)
-    laid = _time_layout(df, order, max_series_rows)
+    laid = _time_layout(df, order, rows, max_series_rows)
     runs = laid.groupBy("__part", *order.keys).agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
     earlier = F.sum("__n").over(
         Window.partitionBy(*order.keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
@@ -91,14 +94,14 @@ def with_position(
     return placed.select(*df.columns, (F.col("__row") - F.col("__start")).cast("long").alias(out))
 
 
-def _time_layout(df: DataFrame, order: TimeOrder, part_rows: int) -> DataFrame:
+def _time_layout(df: DataFrame, order: TimeOrder, rows: int, part_rows: int) -> DataFrame:
     """The table sorted by (keys, order) over range partitions, with ``__part``
     and the row's place ``__row`` in it.
 
     It is written once: afterwards partition numbers are data, which a lost
     executor cannot change. Sorting spills, so large partitions are slow at worst.
     """
-    parts = min(MAX_PARTS, max(2, -(-df.count() // part_rows)))
+    parts = min(MAX_PARTS, max(2, -(-rows // part_rows)))
     cols = [F.col(c) for c in order.all_cols]
     return materialise(
         _reject_nulls(df, order)
@@ -120,9 +123,10 @@ def prepare_series(
     order) order; within a series it counts up by one, which is all that lags and
     gaps need. It is the row's place plus the sizes of earlier partitions, a
     table of at most ``MAX_PARTS`` rows."""
-    if longest_series(df, order) <= max_series_rows:
+    rows, longest = series_sizes(df, order)
+    if longest <= max_series_rows:
         return _reject_nulls(df, order), replace(order, pos=None, block_rows=None)
-    laid = _time_layout(df, order, max_series_rows)
+    laid = _time_layout(df, order, rows, max_series_rows)
     sizes = laid.groupBy("__part").agg(F.count("*").alias("__n"))
     earlier = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("__part", F.coalesce(earlier, F.lit(0)).alias("__earlier"))

@@ -10,6 +10,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolode.functions.calendar import period_start
 from chronolode.functions.encoding import band
 from chronolode.functions.quantiles import MAX_ROWS, grouped_quantiles, quantile
 from chronolode.operators.series import series
@@ -18,7 +19,7 @@ from chronolode.sources.scratch import materialise
 
 def missing_by_period(df: DataFrame, col: str, ts: str, unit: str = "month") -> DataFrame:
     """Percent of rows without a value per calendar period, on unfilled data."""
-    period = F.date_trunc(unit, F.col(ts)).cast("timestamp_ntz")
+    period = period_start(F.col(ts), unit)
     missing = F.avg(F.col(col).isNull().cast("int")) * 100
     return df.groupBy(period.alias("period")).agg(missing.alias("missing_pct")).orderBy("period")
 

@@ -6,19 +6,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolode.functions.calendar import period_start
 from chronolode.functions.encoding import (
     Category,
     Mapped,
-    Quantiles,
     cut_quantiles,
     discretize,
     to_transactions,
 )
 from chronolode.operators.features import FeatureSpec
 from chronolode.operators.ordering import MAX_SERIES_ROWS, TimeOrder
+from chronolode.sources.scratch import materialise
 from chronolode.sources.tables import load
 
 USER_ORDER = TimeOrder("ts", ties=("event_id",), keys=("user_id",))
+KIND_ORDER = TimeOrder("ts", ties=("event_id",), keys=("event_type",))
 LONG_ORDER = TimeOrder("ts", ties=("event_id",))
 HOURLY_ORDER = TimeOrder("ts")
 ORDERS_ORDER = TimeOrder("o_orderdate", ties=("o_orderkey",))
@@ -76,7 +78,7 @@ filled as (select user_id, ts, event_id, event_type, k, y, rn, {value} as yf fro
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One hourly series over all events, with gaps where an hour saw no error."""
     ev = load(spark, sf_dir, "events")
-    hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
+    hour = period_start(F.col("ts"), "hour")
     kind, value = F.col("event_type"), F.col("value")
     per_hour = ev.groupBy(hour.alias("ts")).agg(
         F.round(F.avg(F.when(kind == "error", value)), 6).alias("y"),
@@ -89,7 +91,8 @@ def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     span = ev.agg(F.min(hour).alias("a"), F.max(hour).alias("b"))
     hours = span.select(F.explode(F.sequence("a", "b", F.expr("interval 1 hour"))).alias("ts"))
-    return hours.join(per_hour, "ts", "left").fillna(0, ["f1", "f2"])
+    # written: the series is short, the events behind it need not be
+    return materialise(hours.join(per_hour, "ts", "left").fillna(0, ["f1", "f2"]), "hourly")
 
 
 HOURLY = """g as (select unnest(generate_series(
@@ -168,7 +171,7 @@ train as (select * from facts where pos < cast(floor(n * 0.8) as bigint))"""
 ORDER_FEATURES = ["m", "d", "p"]
 
 BASKET_RULES = [
-    Quantiles("PRICE", "o_totalprice"),
+    Category("PRICE", "price"),
     Category("BAL", "bal"),
     Category("STATUS", "o_orderstatus"),
     Category("PRIO", "o_orderpriority"),
@@ -178,10 +181,12 @@ BASKET_RULES = [
 
 
 def order_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with their customer's balance band and segment."""
+    """Orders with their price band and their customer's balance band and
+    segment. Bands are cut before the join, so that their edges do not need it."""
     customers = cut_quantiles(load(spark, sf_dir, "customer"), {"c_acctbal": "bal"})
+    orders = cut_quantiles(load(spark, sf_dir, "orders"), {"o_totalprice": "price"})
     return (
-        load(spark, sf_dir, "orders")
+        orders
         .join(customers.select("c_custkey", "bal", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
         .withColumn("month", F.month("o_orderdate"))
     )

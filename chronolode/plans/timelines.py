@@ -20,6 +20,7 @@ from chronolode.plans.inputs import (
     HOURLY,
     HOURLY_ORDER,
     HOURLY_SPEC,
+    KIND_ORDER,
     LONG_ORDER,
     ORDERS_ORDER,
     PAIR_SPEC,
@@ -45,10 +46,10 @@ def _long(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TimeOrder]:
     return prepare_series(ev, LONG_ORDER, some_blocks(ev.count()))
 
 
-def _long_users(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TimeOrder]:
-    """A few series, too long for one task each."""
-    ev = user_events(spark, sf_dir).withColumn("user_id", F.col("user_id") % 3)
-    return prepare_series(ev, USER_ORDER, some_blocks(ev.count()) // 4)
+def _kinds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TimeOrder]:
+    """One series per event type: few, and too long for one task each."""
+    ev = user_events(spark, sf_dir)
+    return prepare_series(ev, KIND_ORDER, some_blocks(ev.count()) // 8)
 
 
 _FILLED = f"select event_id, {steady_sql('yf')} as y from filled"
@@ -66,9 +67,9 @@ def interpolate_long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steady(interpolate_linear(df, "y", order).select("event_id", "y"), "y")
 
 
-@query(f"with {filled_sql('partition by user_id % 3')} {_FILLED}")
-def interpolate_long_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, order = _long_users(spark, sf_dir)
+@query(f"with {filled_sql('partition by event_type')} {_FILLED}")
+def interpolate_by_event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, order = _kinds(spark, sf_dir)
     return steady(interpolate_linear(df, "y", order).select("event_id", "y"), "y")
 
 
@@ -117,18 +118,14 @@ def rolling_means_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return steady(rolled, "roll_mean_6", "roll_mean_24")
 
 
-@query(_rolls_sql("partition by user_id % 3"))
-def rolling_means_long_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, order = _long_users_value(spark, sf_dir)
+@query(_rolls_sql("partition by event_type"))
+def rolling_means_by_event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = load(spark, sf_dir, "events").select("event_type", "ts", "event_id", "value")
+    df, order = prepare_series(ev, KIND_ORDER, some_blocks(ev.count()) // 8)
     rolled = add_rolling_mean(df, "value", [6, 24], order).select("event_id", "roll_mean_6", "roll_mean_24")
     return steady(rolled, "roll_mean_6", "roll_mean_24")
 
 
-def _long_users_value(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, TimeOrder]:
-    ev = load(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("user_id"), "ts", "event_id", "value")
-    return prepare_series(ev, USER_ORDER, some_blocks(ev.count()) // 4)
-
-
 @query("select event_id, lead(value, 6) over (partition by user_id order by ts, event_id) as value from events")
 def shift_target_by_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, order = prepare_series(load(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), USER_ORDER)
@@ -169,10 +166,10 @@ def position_long_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_position(ev, LONG_ORDER, max_series_rows=some_blocks(ev.count())).select("event_id", "pos")
 
 
-@query("select event_id, row_number() over (partition by user_id % 3 order by ts, event_id) - 1 as pos from events")
-def position_long_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = load(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("user_id"), "ts", "event_id")
-    return with_position(ev, USER_ORDER, max_series_rows=some_blocks(ev.count()) // 4).select("event_id", "pos")
+@query("select event_id, row_number() over (partition by event_type order by ts, event_id) - 1 as pos from events")
+def position_by_event_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = load(spark, sf_dir, "events").select("event_type", "ts", "event_id")
+    return with_position(ev, KIND_ORDER, max_series_rows=some_blocks(ev.count()) // 8).select("event_id", "pos")
 
 
 _ORDER_POS = (

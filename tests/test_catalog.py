@@ -44,7 +44,7 @@ def test_sql_names():
 
 
 @pytest.mark.parametrize("n", [1, 7])
-@pytest.mark.parametrize("name", ["rules_all_splits", "interpolate_long_users", "position_long_users", "tests_of_all_pairs"])
+@pytest.mark.parametrize("name", ["rules_all_splits", "interpolate_by_event_type", "position_by_event_type", "tests_of_all_pairs"])
 def test_partition_count_does_not_matter(spark, con, partitions, name, n):
     partitions(n)
     test_query(spark, con, name)

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from chronolode.functions.calendar import period_start
 from chronolode.functions.encoding import Bands, HourOfDay, Quantiles
 from chronolode.operators.profile import (
     band_counts,
@@ -67,6 +68,19 @@ def test_time_from_parts(spark, csv):
     ]
 
 
+def test_periods_ignore_the_session_zone(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
+    try:
+        rows = [(dt.datetime(2017, 10, 15, 0, 30),)]  # an hour that this zone skipped
+        ts = spark.createDataFrame(rows, "ts timestamp_ntz")
+        got = ts.select(*[period_start(F.col("ts"), u).alias(u) for u in ("hour", "day", "month", "year")]).first()
+        assert list(got) == [dt.datetime(2017, 10, 15), dt.datetime(2017, 10, 15), dt.datetime(2017, 10, 1), dt.datetime(2017, 1, 1)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    with pytest.raises(ValueError):
+        period_start(F.col("ts"), "week")
+
+
 def test_nan_to_null_and_small_tables(spark):
     df = to_table(spark, [(float("nan"), "NaN"), (1.0, "x")], "a double, b string")
     assert [tuple(r) for r in nan_to_null(df).collect()] == [(None, "NaN"), (1.0, "x")]
