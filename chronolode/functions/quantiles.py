@@ -1,13 +1,12 @@
 """Exact linear quantiles that do not gather a column in one task.
 
-Three ways, chosen by measured size, all with the same result:
+Two ways, chosen by measured size, with the same result:
 
 * up to ``max_rows`` values: Spark's ``percentile``;
-* more rows but few distinct values: counts per value first, then
-  ``percentile`` over the counted values;
 * otherwise each wanted rank is narrowed to a smaller and smaller value range by
   counting rows per equal-width cell, with map-side combine, so that what is
-  shuffled is bounded by the number of cells.
+  shuffled is bounded by the number of cells. A cell that holds one value, however
+  often, is an answer.
 """
 
 from __future__ import annotations
@@ -58,7 +57,6 @@ def _edges(df: DataFrame, values: list[Column], probs: Sequence[float], max_rows
             for i in range(len(values))
             for name, f in (
                 ("n", F.count(f"v{i}")),
-                ("d", F.approx_count_distinct(f"v{i}")),
                 ("lo", F.min(f"v{i}")),
                 ("hi", F.max(f"v{i}")),
             )
@@ -77,10 +75,6 @@ def _edges(df: DataFrame, values: list[Column], probs: Sequence[float], max_rows
         n = stats[f"n{i}"]
         if n <= max_rows:
             continue
-        if stats[f"d{i}"] <= max_rows // 2:
-            counted = table.where(F.col(f"v{i}").isNotNull()).groupBy(f"v{i}").agg(F.count("*").alias("w"))
-            found[i] = list(counted.agg(F.percentile(f"v{i}", _probs(probs), F.col("w")).alias("q")).first()["q"])
-            continue
         ranks = sorted({f((n - 1) * p) for p in probs for f in (math.floor, math.ceil)})
         ranges.append(_Range(i, stats[f"lo{i}"], stats[f"hi{i}"], 0, n, tuple(ranks)))
 
