@@ -121,7 +121,8 @@ def _by_level(baskets: DataFrame, n: int, min_support: float, max_len: int) -> D
     """Level by level: each basket extends the frequent sets it holds by one of
     its own items; sets that are no candidates go by semi-join before counting.
     A level is small (its size times ``min_support`` cannot exceed the sets per
-    basket) and is written once; Spark broadcasts it when its size allows."""
+    basket). Levels and candidates are written, so Spark knows their size when it
+    plans the semi-joins and broadcasts them if that allows."""
     level = materialise(_level_one(baskets, n, min_support), "itemsets")
     found = level
     known = level.select(F.col("itemset")[0].alias("item"))
@@ -138,7 +139,8 @@ def _by_level(baskets: DataFrame, n: int, min_support: float, max_len: int) -> D
             # both items frequent is all there is to check
             held = grown.join(known, F.element_at("itemset", -1) == F.col("item"), "left_semi")
         else:
-            held = grown.join(candidate_sets(level), "itemset", "left_semi")
+            candidates = materialise(candidate_sets(level), "candidates")
+            held = grown.join(candidates, "itemset", "left_semi")
         counts = held.groupBy("itemset").agg(F.sum("w").alias("n_tx"))
         level = materialise(_frequent(counts, n, min_support), "itemsets")
         held = held.join(level, "itemset", "left_semi")

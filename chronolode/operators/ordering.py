@@ -19,6 +19,7 @@ from chronolode.sources.scratch import materialise
 
 MAX_SERIES_ROWS = 1_000_000
 MAX_PARTS = 10_000
+MAX_BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
@@ -51,15 +52,15 @@ def order_by_time(df: DataFrame, order: TimeOrder) -> DataFrame:
     return df.orderBy(*order.all_cols)
 
 
-def series_sizes(df: DataFrame, order: TimeOrder) -> tuple[int, int]:
-    """Rows of the table and of its longest series. Only the key columns are
-    read, and counts are combined before the shuffle."""
+def series_sizes(df: DataFrame, order: TimeOrder) -> tuple[int, int, int]:
+    """Rows of the table, number of series, rows of the longest one. Only the key
+    columns are read, and counts are combined before the shuffle."""
     if not order.keys:
         rows = df.count()
-        return rows, rows
+        return rows, 1, rows
     sizes = df.groupBy(*order.keys).agg(F.count("*").alias("n"))
-    row = sizes.agg(F.sum("n").alias("rows"), F.max("n").alias("longest")).first()
-    return row["rows"] or 0, row["longest"] or 0
+    row = sizes.agg(F.sum("n").alias("rows"), F.count("*").alias("series"), F.max("n").alias("longest")).first()
+    return row["rows"] or 0, row["series"], row["longest"] or 0
 
 
 def _reject_nulls(df: DataFrame, order: TimeOrder) -> DataFrame:
@@ -78,7 +79,7 @@ def with_position(
     df: DataFrame, order: TimeOrder, out: str = "pos", max_series_rows: int = MAX_SERIES_ROWS
 ) -> DataFrame:
     """Add the dense 0-based position of each row in its series."""
-    rows, longest = series_sizes(df, order)
+    rows, series, longest = series_sizes(df, order)
     if longest <= max_series_rows:
         placed = (F.row_number().over(order.window()) - 1).cast("long")
         return _reject_nulls(df, order).withColumn(out, placed)
@@ -87,9 +88,11 @@ def with_position(
     earlier = F.sum("__n").over(
         Window.partitionBy(*order.keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     )
-    # One run per series and partition it touches: as many as there are series,
-    # plus one per partition. A long series is spread over its partitions.
+    # One run per series and partition it touches: no more than series plus
+    # partitions. Joined by both, a long series stays spread over partitions.
     starts = runs.select("__part", *order.keys, (F.col("__first") - F.coalesce(earlier, F.lit(0))).alias("__start"))
+    if series + MAX_PARTS <= MAX_BROADCAST_ROWS:
+        starts = F.broadcast(starts)
     placed = laid.join(starts, ["__part", *order.keys])
     return placed.select(*df.columns, (F.col("__row") - F.col("__start")).cast("long").alias(out))
 
@@ -123,7 +126,7 @@ def prepare_series(
     order) order; within a series it counts up by one, which is all that lags and
     gaps need. It is the row's place plus the sizes of earlier partitions, a
     table of at most ``MAX_PARTS`` rows."""
-    rows, longest = series_sizes(df, order)
+    rows, _, longest = series_sizes(df, order)
     if longest <= max_series_rows:
         return _reject_nulls(df, order), replace(order, pos=None, block_rows=None)
     laid = _time_layout(df, order, rows, max_series_rows)
