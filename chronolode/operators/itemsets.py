@@ -215,6 +215,25 @@ def rare_rules(
     )
 
 
+def common_and_rare_rules(
+    tx: DataFrame,
+    prefix: str,
+    targets: Sequence[str],
+    common: tuple[float, float, int] = (0.02, 0.4, 3),
+    rare: tuple[float, float, int] = (0.006, 0.2, 4),
+) -> tuple[DataFrame, DataFrame]:
+    """Rules for consequents with ``prefix``, and rules for the rare ``targets``,
+    each under its own (support, confidence, length). Both come from one mining
+    pass at the looser thresholds: a set's support does not depend on them."""
+    frequent = frequent_itemsets(tx, min(common[0], rare[0]), max(common[2], rare[2]))
+
+    def rules(support: float, confidence: float, length: int) -> DataFrame:
+        kept = frequent.where((F.col("support") >= support) & (F.size("itemset") <= length))
+        return association_rules(kept, confidence)
+
+    return by_lift(rules_for_prefix(rules(*common), prefix)), rules_for_consequents(rules(*rare), targets)
+
+
 def mine_conditions(
     df: DataFrame,
     rules: Sequence[ItemRule],

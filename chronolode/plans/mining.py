@@ -9,6 +9,7 @@ from chronolode.operators.itemsets import (
     association_rules,
     by_lift,
     candidate_sets,
+    common_and_rare_rules,
     frequent_itemsets,
     item_support,
     mine_conditions,
@@ -122,6 +123,19 @@ def rare_band_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rules(rare_rules(baskets(spark, sf_dir), ["PRIO=1-URGENT", "SEG=BUILDING"], 0.006, 0.2, 4))
 
 
+@query(
+    f"select 'common' as kind, * from (with {rules_sql(0.02, 3, 0.3)} select {_RULE_SQL} from rules where starts_with(consequent, 'PRICE=')) "
+    f"union all select 'rare', * from (with {rules_sql(0.006, 4, 0.2)} select {_RULE_SQL} from rules where consequent in ('PRIO=1-URGENT', 'SEG=BUILDING'))"
+)
+def common_and_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rule tables from one mining pass."""
+    common, rare = common_and_rare_rules(
+        baskets(spark, sf_dir), "PRICE=", ["PRIO=1-URGENT", "SEG=BUILDING"], (0.02, 0.3, 3), (0.006, 0.2, 4)
+    )
+    marked = [_rules(t).withColumn("kind", F.lit(k)) for k, t in (("common", common), ("rare", rare))]
+    return marked[0].unionByName(marked[1])
+
+
 @query(f"with {rules_sql(0.03, 3, 0.3)} select {_RULE_SQL} from rules")
 def order_condition_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, rules = mine_conditions(order_conditions(spark, sf_dir), BASKET_RULES, 0.03, 0.3, 3)
