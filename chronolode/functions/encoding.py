@@ -229,8 +229,18 @@ def discretize(df: DataFrame, rules: Sequence[ItemRule], keep: Sequence[str] = (
 def to_transactions(df: DataFrame, item_cols: Sequence[str], tx_id: str | None = None) -> DataFrame:
     """Sorted array of the distinct non-null items of each row. A row can never
     hold more items than there are item columns."""
-    items = F.array_sort(F.array_distinct(F.array_compact(F.array(*item_cols))))
-    return df.select(*([tx_id] if tx_id else []), items.alias("items"))
+    return df.select(*([tx_id] if tx_id else []), _items(item_cols))
+
+
+def _items(item_cols: Sequence[str]) -> Column:
+    return F.sort_array(F.array_distinct(F.array_compact(F.array(*item_cols)))).alias("items")
+
+
+def to_baskets(df: DataFrame, item_cols: Sequence[str]) -> DataFrame:
+    """Distinct transactions with the number ``w`` of rows that have each. Rows
+    are combined by their item columns before any array is built."""
+    counted = df.groupBy(*item_cols).agg(F.count("*").alias("w"))
+    return counted.select(_items(item_cols), "w")
 
 
 def wide_transactions(df: DataFrame, tx_id: str, vocabulary: Sequence[str]) -> DataFrame:

@@ -118,7 +118,7 @@ def _rows_in(table: DataFrame, ranges: list[_Range], cell) -> DataFrame:
         hits.append(
             F.when(v.between(r.lo, r.hi), F.struct(F.lit(k).alias("k"), cell(v, r).alias("cell"), v.alias("v")))
         )
-    return table.select(F.explode(F.array_compact(F.array(*hits))).alias("h")).select("h.*")
+    return table.select(F.explode(F.array(*hits)).alias("h")).where(F.col("h").isNotNull()).select("h.*")
 
 
 def _narrow(table: DataFrame, ranges: list[_Range]) -> list[_Range]:

@@ -13,15 +13,17 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolode.functions.encoding import ItemRule, discretize, to_transactions
+from chronolode.functions.encoding import ItemRule, discretize, to_baskets
 from chronolode.sources.scratch import materialise
 
 MAX_SUBSETS = 50_000_000
 
 
-def distinct_baskets(tx: DataFrame, items: str = "items") -> DataFrame:
-    """Distinct item arrays and how many transactions have each."""
-    return tx.groupBy(F.col(items).alias("items")).agg(F.count("*").alias("w"))
+def distinct_baskets(tx: DataFrame, items: str = "items", weight: str | None = None) -> DataFrame:
+    """Distinct item arrays and how many transactions have each. ``weight`` names
+    a column of counts if the rows of ``tx`` stand for several transactions."""
+    rows = F.sum(weight) if weight else F.count("*")
+    return tx.groupBy(F.col(items).alias("items")).agg(rows.alias("w"))
 
 
 def _frequent(counts: DataFrame, n: int, min_support: float) -> DataFrame:
@@ -36,10 +38,12 @@ def _level_one(baskets: DataFrame, n: int, min_support: float) -> DataFrame:
     return _frequent(counts, n, min_support)
 
 
-def item_support(tx: DataFrame, min_support: float = 0.0, items: str = "items") -> DataFrame:
+def item_support(
+    tx: DataFrame, min_support: float = 0.0, items: str = "items", weight: str | None = None
+) -> DataFrame:
     """Items held by at least ``min_support`` of the transactions, as
     ``(item, n_tx, support)``."""
-    baskets = materialise(distinct_baskets(tx, items), "baskets")
+    baskets = materialise(distinct_baskets(tx, items, weight), "baskets")
     n = baskets.agg(F.sum("w")).first()[0] or 1
     return _level_one(baskets, n, min_support).select(F.col("itemset")[0].alias("item"), "n_tx", "support")
 
@@ -96,18 +100,20 @@ def frequent_itemsets(
     min_support: float = 0.05,
     max_len: int = 3,
     items: str = "items",
+    weight: str | None = None,
     max_subsets: int = MAX_SUBSETS,
 ) -> DataFrame:
     """All itemsets of up to ``max_len`` items held by at least ``min_support``
     of the transactions, as ``(itemset, n_tx, support)``.
 
-    ``items`` must be sorted arrays without repeats. Tables of a few categorical
+    ``items`` must be sorted arrays without repeats, as ``to_transactions`` and
+    ``to_baskets`` make them; ``weight`` is the count column of the latter. Tables of a few categorical
     columns have few distinct baskets whatever their length; when all of their
     subsets number at most ``max_subsets``, one aggregate counts them. Otherwise
     mining goes level by level and a set is only counted when all of its subsets
     are frequent. The results are the same.
     """
-    baskets = materialise(distinct_baskets(tx, items), "baskets")
+    baskets = materialise(distinct_baskets(tx, items, weight), "baskets")
     widths = baskets.groupBy(F.size("items").alias("m")).agg(F.count("*").alias("n"), F.sum("w").alias("w")).collect()
     n = sum(r["w"] for r in widths)
     subsets = sum(r["n"] * comb(r["m"], k) for r in widths for k in range(1, max_len + 1))
@@ -208,11 +214,11 @@ def rare_rules(
     min_support: float = 0.006,
     min_confidence: float = 0.2,
     max_len: int = 4,
+    weight: str | None = None,
 ) -> DataFrame:
     """Rules that end in one of a few rare items: low thresholds, longer sets."""
-    return rules_for_consequents(
-        association_rules(frequent_itemsets(tx, min_support, max_len), min_confidence), targets
-    )
+    frequent = frequent_itemsets(tx, min_support, max_len, weight=weight)
+    return rules_for_consequents(association_rules(frequent, min_confidence), targets)
 
 
 def common_and_rare_rules(
@@ -221,11 +227,12 @@ def common_and_rare_rules(
     targets: Sequence[str],
     common: tuple[float, float, int] = (0.02, 0.4, 3),
     rare: tuple[float, float, int] = (0.006, 0.2, 4),
+    weight: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Rules for consequents with ``prefix``, and rules for the rare ``targets``,
     each under its own (support, confidence, length). Both come from one mining
     pass at the looser thresholds: a set's support does not depend on them."""
-    frequent = frequent_itemsets(tx, min(common[0], rare[0]), max(common[2], rare[2]))
+    frequent = frequent_itemsets(tx, min(common[0], rare[0]), max(common[2], rare[2]), weight=weight)
 
     def rules(support: float, confidence: float, length: int) -> DataFrame:
         kept = frequent.where((F.col("support") >= support) & (F.size("itemset") <= length))
@@ -242,7 +249,6 @@ def mine_conditions(
     max_len: int = 3,
 ) -> tuple[DataFrame, DataFrame]:
     """Table to items to transactions to itemsets to rules."""
-    items = discretize(df, rules)
-    tx = to_transactions(items, [r.attr for r in rules])
-    frequent = frequent_itemsets(tx, min_support, max_len)
+    baskets = to_baskets(discretize(df, rules), [r.attr for r in rules])
+    frequent = frequent_itemsets(baskets, min_support, max_len, weight="w")
     return frequent, by_lift(association_rules(frequent, min_confidence))

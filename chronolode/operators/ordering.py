@@ -159,7 +159,7 @@ def spread_blocks(df: DataFrame, order: TimeOrder, back: int = 0, ahead: int = 0
     place = F.col(order.pos) % F.lit(size).cast("long")
     home = F.col("__home")
     copies = [home, F.when(place >= size - back, home + 1), F.when((place < ahead) & (home > 0), home - 1)]
-    return placed.withColumn("__block", F.explode(F.array_compact(F.array(*copies))))
+    return placed.withColumn("__block", F.explode(F.array(*copies))).where(F.col("__block").isNotNull())
 
 
 def block_window(order: TimeOrder, descending: bool = False) -> WindowSpec:

@@ -100,11 +100,12 @@ def ridge_fold_predictions(table: TrainingTable, alphas: Sequence[float], k: int
             rows.append((f, float(alpha), intercept, [float(b) for b in coefs]))
         running = running + sums[f]
     coef_table = spark.createDataFrame(rows, _COEF_SCHEMA)  # k * len(alphas) rows
-    inputs = F.array(*[F.col(c).cast("double") for c in table.features])
-    dot = F.aggregate(F.zip_with(inputs, "coefs", lambda x, b: x * b), F.lit(0.0), lambda a, x: a + x)
+    prediction = F.col("intercept")
+    for i, c in enumerate(table.features):
+        prediction = prediction + F.col("coefs")[i] * F.col(c)
     return (
         table.df.withColumn("fold", fold)
         .where(F.col("fold") > 0)
         .join(F.broadcast(coef_table), "fold")
-        .select("fold", "alpha", table.pos, F.col(table.label).alias("label"), (F.col("intercept") + dot).alias("prediction"))
+        .select("fold", "alpha", table.pos, F.col(table.label).alias("label"), prediction.alias("prediction"))
     )

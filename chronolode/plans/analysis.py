@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolode.functions.encoding import ItemRule, discretize, to_transactions
+from chronolode.functions.encoding import ItemRule, discretize, to_baskets
 from chronolode.operators.attribution import attribution_ranking, sample_rows, tree_attributions
 from chronolode.operators.benchmark import (
     cv_benchmark,
@@ -120,9 +120,9 @@ def analyse(raw: DataFrame, plan: Analysis) -> Mapping[str, DataFrame]:
         fit(explained, far.first(far_cut)), far.between(far_cut, far.rows), far, plan.sample
     )
 
-    items = to_transactions(discretize(filled, plan.items), [r.attr for r in plan.items])
+    baskets = to_baskets(discretize(filled, plan.items), [r.attr for r in plan.items])
     out["rules_common"], out["rules_rare"] = common_and_rare_rules(
-        items, plan.target_prefix, plan.rare_targets, plan.common, plan.rare
+        baskets, plan.target_prefix, plan.rare_targets, plan.common, plan.rare, weight="w"
     )
     return out
 

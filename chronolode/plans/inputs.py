@@ -12,6 +12,7 @@ from chronolode.functions.encoding import (
     Mapped,
     cut_quantiles,
     discretize,
+    to_baskets,
     to_transactions,
 )
 from chronolode.operators.features import FeatureSpec
@@ -192,6 +193,12 @@ def order_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def weighted_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct sets of six items and the number of orders with each."""
+    items = discretize(order_conditions(spark, sf_dir), BASKET_RULES)
+    return to_baskets(items, [r.attr for r in BASKET_RULES])
+
+
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six items per order."""
     items = discretize(order_conditions(spark, sf_dir), BASKET_RULES, keep=["o_orderkey"])

@@ -44,6 +44,7 @@ from chronolode.plans.inputs import (
     rules_sql,
     some_blocks,
     user_events,
+    weighted_baskets,
 )
 from chronolode.plans.registry import query, rounded
 from chronolode.plans.tables import EVENT_ITEMS, EVENT_RULES, event_conditions
@@ -75,7 +76,7 @@ def frequent_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     "join f2s z on z.a = x.b and z.b = y.b"
 )
 def candidate_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = frequent_itemsets(baskets(spark, sf_dir), 0.03, 2).where(F.size("itemset") == 2)
+    pairs = frequent_itemsets(weighted_baskets(spark, sf_dir), 0.03, 2, weight="w").where(F.size("itemset") == 2)
     return _itemset_text(candidate_sets(pairs))
 
 
@@ -87,7 +88,7 @@ def itemsets_up_to_three(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with {itemsets_sql(0.006, 4)} select s as itemset, n_tx, round(support, 9) as support from freq")
 def itemsets_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path for many distinct baskets, forced at any scale."""
-    found = frequent_itemsets(baskets(spark, sf_dir), 0.006, 4, max_subsets=0)
+    found = frequent_itemsets(weighted_baskets(spark, sf_dir), 0.006, 4, weight="w", max_subsets=0)
     return rounded(_itemset_text(found), "support", places=9)
 
 
@@ -97,7 +98,7 @@ def rules_all_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _general(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return association_rules(frequent_itemsets(baskets(spark, sf_dir), 0.02, 3), 0.2)
+    return association_rules(frequent_itemsets(weighted_baskets(spark, sf_dir), 0.02, 3, weight="w"), 0.2)
 
 
 @query(f"with {rules_sql(0.02, 3, 0.2)} select {_RULE_SQL} from rules order by rules.lift desc, 1, 2 limit 15")
@@ -120,7 +121,7 @@ def rules_with_listed_consequent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {rules_sql(0.006, 4, 0.2)} select {_RULE_SQL} from rules where consequent in ('PRIO=1-URGENT', 'SEG=BUILDING')")
 def rare_band_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rules(rare_rules(baskets(spark, sf_dir), ["PRIO=1-URGENT", "SEG=BUILDING"], 0.006, 0.2, 4))
+    return _rules(rare_rules(weighted_baskets(spark, sf_dir), ["PRIO=1-URGENT", "SEG=BUILDING"], 0.006, 0.2, 4, "w"))
 
 
 @query(
@@ -129,8 +130,9 @@ def rare_band_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def common_and_rare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rule tables from one mining pass."""
+    rare = ["PRIO=1-URGENT", "SEG=BUILDING"]
     common, rare = common_and_rare_rules(
-        baskets(spark, sf_dir), "PRICE=", ["PRIO=1-URGENT", "SEG=BUILDING"], (0.02, 0.3, 3), (0.006, 0.2, 4)
+        weighted_baskets(spark, sf_dir), "PRICE=", rare, (0.02, 0.3, 3), (0.006, 0.2, 4), "w"
     )
     marked = [_rules(t).withColumn("kind", F.lit(k)) for k, t in (("common", common), ("rare", rare))]
     return marked[0].unionByName(marked[1])
