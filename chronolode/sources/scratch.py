@@ -26,9 +26,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
         return folder
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_KEY} to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="chronolode-")
-    spark.conf.set(_KEY, folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="chronolode-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
