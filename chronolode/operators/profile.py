@@ -161,7 +161,8 @@ class ProfileSpec:
 
 def profile(raw: DataFrame, filled: DataFrame, spec: ProfileSpec) -> Mapping[str, DataFrame]:
     """All profile tables: missingness from the unfilled table, the rest from the
-    gap-filled one, which must still hold its category column."""
+    gap-filled one, which must still hold its category column. Each table reads
+    its input anew, so pass ``filled`` as a written table."""
     by_month = filled.withColumn("month", F.month(spec.ts))
     spark = filled.sparkSession
     cut = quantile(filled, spec.label, spec.display_quantile)

@@ -48,6 +48,7 @@ from chronolode.plans.inputs import (
 )
 from chronolode.plans.registry import query, rounded
 from chronolode.plans.tables import EVENT_ITEMS, EVENT_RULES, event_conditions
+from chronolode.sources.scratch import materialise
 from chronolode.sources.tables import load, to_table
 
 _RULE_COLS = ["antecedent", "consequent", "support", "confidence", "lift"]
@@ -290,7 +291,8 @@ def whole_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All profile tables in one long table of non-empty cells."""
     raw = user_events(spark, sf_dir)
     df, order = prepare_series(raw, USER_ORDER)
-    parts = profile(raw, interpolate_linear(df, "y", order), _PROFILE)
+    filled = materialise(interpolate_linear(df, "y", order), "filled")
+    parts = profile(raw, filled, _PROFILE)
     cells = {
         "missing": (F.date_format("period", "yyyy-MM"), F.col("missing_pct"), F.lit(True)),
         "histogram": (F.col("bin"), F.col("n"), F.col("n") > 0),

@@ -1,6 +1,7 @@
 """Readers, writers and the shared scratch folder."""
 
 from chronolode.sources.observations import (
+    USUAL_NULLS,
     nan_to_null,
     read_observations,
     with_month_start,
@@ -10,6 +11,7 @@ from chronolode.sources.scratch import checkpoint_folder, materialise
 from chronolode.sources.tables import load, to_table, write_table
 
 __all__ = [
+    "USUAL_NULLS",
     "checkpoint_folder",
     "load",
     "materialise",

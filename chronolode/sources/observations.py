@@ -8,6 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Texts that data frame readers commonly take for missing.
+USUAL_NULLS = (
+    "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+    "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
 
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Replace NaN by NULL in every float column, so that later operators only
@@ -30,7 +36,7 @@ def read_observations(
     null_values: Sequence[str] = ("NA",),
 ) -> DataFrame:
     """Scan a CSV with a header; every token of ``null_values`` and every empty
-    field is missing. Columns are taken by place, so ``schema`` may rename them
+    field is missing; ``USUAL_NULLS`` lists the common ones. Columns are taken by place, so ``schema`` may rename them
     (``pm2.5`` to ``pm25``). A field that does not parse is an error."""
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)

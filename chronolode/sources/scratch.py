@@ -31,7 +31,10 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the folder, which can be removed
+    as a whole once the application has ended."""
+    mine = f"{checkpoint_folder(spark).rstrip('/')}/chronolode-{spark.sparkContext.applicationId}"
+    return f"{mine}/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:

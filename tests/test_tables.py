@@ -14,7 +14,7 @@ from chronolode.operators.profile import (
     mean_by,
     missing_by_period,
 )
-from chronolode.sources.observations import nan_to_null, read_observations, with_month_start, with_timestamp
+from chronolode.sources.observations import USUAL_NULLS, nan_to_null, read_observations, with_month_start, with_timestamp
 from chronolode.sources.scratch import checkpoint_folder, fixed_partitions, materialise
 from chronolode.sources.tables import to_table, write_table
 from chronolode.streaming import encode_stream
@@ -47,6 +47,13 @@ def test_csv_scan_with_many_tokens(spark, csv):
     assert [r["cbwd"] for r in rows] == ["NW", None, None, "NE"]
 
 
+def test_usual_null_texts(spark, tmp_path):
+    path = tmp_path / "nulls.csv"
+    path.write_text("a,b\n" + "".join(f"{t},1\n" for t in (*USUAL_NULLS, "2.5")))
+    rows = read_observations(spark, str(path), "a double, b int", USUAL_NULLS).collect()
+    assert [r["a"] for r in rows] == [None] * len(USUAL_NULLS) + [2.5]
+
+
 def test_malformed_numbers_are_an_error(spark, tmp_path):
     path = tmp_path / "bad.csv"
     path.write_text(CSV)
