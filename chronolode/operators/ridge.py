@@ -12,46 +12,55 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolode.operators.models import TrainingTable
 from chronolode.operators.ordering import fold_of
 
+# Above about a hundred columns Spark stops compiling an aggregate.
+MAX_SUMS = 90
+
 _COEF_SCHEMA = "fold int, alpha double, intercept double, coefs array<double>"
 
 
-def sums_of_products(table: TrainingTable, segment, center: Sequence[float]) -> dict[int, np.ndarray]:
+def sums_of_products(
+    table: TrainingTable, segment: Column, center: Sequence[float], max_sums: int = MAX_SUMS
+) -> dict[int, np.ndarray]:
     """Per value of the integer expression ``segment``: the matrix of sums of
     products over ``(1, features, label)``, each column taken around ``center``.
-    A task adds up its own rows and emits one matrix per segment."""
+    Few columns are summed as built-in aggregates; more would leave generated
+    code, so then every task multiplies its rows as matrices and emits one
+    matrix per segment."""
     names = [*table.features, table.label]
     p = len(names) + 1
-    middle = np.asarray(center, dtype=float)
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        totals: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = batch["__segment"].to_numpy()
-            rows = np.column_stack([np.ones(len(batch)), batch[names].to_numpy(dtype=float) - middle])
-            for s in np.unique(at):
-                part = rows[at == s]
-                totals[int(s)] = totals.get(int(s), 0) + part.T @ part
-        i, j = np.triu_indices(p)
-        for s, m in totals.items():
-            yield pd.DataFrame({"segment": s, "i": i, "j": j, "s": m[i, j]})
-
-    parts = table.df.select(segment.alias("__segment"), *[F.col(c).cast("double") for c in names])
-    cells = (
-        parts.mapInPandas(partial, "segment int, i int, j int, s double")
-        .groupBy("segment", "i", "j")
-        .agg(F.sum("s").alias("s"))
-        .collect()
-    )
+    moved = [(F.col(c).cast("double") - F.lit(m)).alias(f"c{i}") for i, (c, m) in enumerate(zip(names, center), 1)]
+    rows = table.df.select(segment.alias("segment"), F.lit(1.0).alias("c0"), *moved)
+    i, j = np.triu_indices(p)
+    if len(i) <= max_sums:
+        sums = rows.groupBy("segment").agg(
+            *[F.sum(F.col(f"c{a}") * F.col(f"c{b}")).alias(f"s{k}") for k, (a, b) in enumerate(zip(i, j))]
+        )
+        cells = [(r["segment"], a, b, r[f"s{k}"]) for r in sums.collect() for k, (a, b) in enumerate(zip(i, j))]
+    else:
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            totals: dict[int, np.ndarray] = {}
+            for batch in batches:
+                at = batch["segment"].to_numpy()
+                x = batch.drop(columns="segment").to_numpy()
+                for s in np.unique(at):
+                    part = x[at == s]
+                    totals[int(s)] = totals.get(int(s), 0) + part.T @ part
+            for s, m in totals.items():
+                yield pd.DataFrame({"segment": s, "i": i, "j": j, "s": m[i, j]})
+
+        parts = rows.mapInPandas(partial, "segment int, i int, j int, s double")
+        cells = [tuple(r) for r in parts.groupBy("segment", "i", "j").agg(F.sum("s")).collect()]
     found: dict[int, np.ndarray] = {}
-    for c in cells:
-        m = found.setdefault(c["segment"], np.zeros((p, p)))
-        m[c["i"], c["j"]] = m[c["j"], c["i"]] = c["s"]
+    for s, a, b, value in cells:
+        m = found.setdefault(s, np.zeros((p, p)))
+        m[a, b] = m[b, a] = value
     return found
 
 

@@ -22,8 +22,8 @@ from chronolode.operators.benchmark import (
 )
 from chronolode.operators.features import FeatureSpec
 from chronolode.operators.models import boosted, default_models, fit, forest, ridge, score, training_table, tree
-from chronolode.operators.ordering import TimeOrder, fold_starts
-from chronolode.operators.ridge import ridge_coefficients
+from chronolode.operators.ordering import TimeOrder, fold_of, fold_starts
+from chronolode.operators.ridge import column_means, ridge_coefficients, sums_of_products
 from chronolode.operators.tuning import (
     BOOSTED_SPACE,
     RIDGE_GRID,
@@ -73,6 +73,14 @@ def test_ridge_equals_the_closed_form(table, alpha):
     assert np.allclose([terms[f] for f in FEATURES], b, rtol=1e-8) and terms["intercept"] == pytest.approx(b0, rel=1e-8)
 
 
+def test_both_ways_to_sum_products_agree(table):
+    center = column_means(table)
+    segment = fold_of(F.col("pos"), N, 3)
+    few, many = (sums_of_products(table, segment, center, limit) for limit in (90, 0))
+    assert set(few) == set(many) == {0, 1, 2, 3}
+    assert all(np.allclose(few[s], many[s], rtol=1e-12, atol=1e-9) for s in few)
+
+
 def test_shared_ridge_pass_equals_single_fits(table):
     x, y = data()
     starts, size = fold_starts(N, 5)
