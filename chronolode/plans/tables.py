@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolode.functions.encoding import (
+    SEASONS,
     Bands,
     HourOfDay,
     Mapped,
@@ -22,7 +23,6 @@ from chronolode.functions.encoding import (
     to_transactions,
     wide_transactions,
 )
-from chronolode.functions.encoding import SEASONS
 from chronolode.functions.quantiles import quantile_edges
 from chronolode.operators.ordering import order_by_time
 from chronolode.operators.profile import mean_by

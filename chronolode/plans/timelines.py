@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from chronolode.functions.calendar import add_calendar, add_cyclical
 from chronolode.operators.features import build_features, horizon_features
