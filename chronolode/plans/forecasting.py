@@ -280,6 +280,17 @@ def forest_holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scores, *_SCORES)
 
 
+@query(
+    f"with {_TREE2}, s as (select {_SCORE_SQL} from scored) "
+    "select algorithm, cast(seed as int) as seed, mae, rmse, r2 from s cross join (values ('tree'), ('forest')) m(algorithm) "
+    "cross join range(3) r(seed)"
+)
+def seed_scores_without_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models that draw nothing score the same under every seed."""
+    models = [tree(max_depth=2), forest(trees=2, max_depth=2, bootstrap=False)]
+    return rounded(seed_robustness(order_table(spark, sf_dir), models, seeds=(0, 1, 2)), *_SCORES)
+
+
 @query(
     f"""with {_STUMP},
 first_tree as (select n1, avg(y) as p1 from t1 where is_train group by 1),
