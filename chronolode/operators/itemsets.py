@@ -50,8 +50,8 @@ def item_support(
 
 def candidate_sets(frequent: DataFrame) -> DataFrame:
     """Sets of one item more whose subsets are all among ``frequent``, sets of
-    one common size with sorted items. Two sets that agree but for the last item
-    join; the remaining subsets are looked up by equi-join."""
+    one common size, two or more, with sorted items. Two sets that agree but for
+    the last item join; the remaining subsets are looked up by equi-join."""
     sets = frequent.select("itemset")
     stem = F.slice("itemset", F.lit(1), F.size("itemset") - 1)
     left = sets.select(stem.alias("stem"), F.element_at("itemset", -1).alias("a"))
