@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolode.llm import chat_format, exact_dedup, quality
+from chronolode.llm import chat_format, exact_dedup, mixture, quality
 
 _MODULES = {
     "op5_quality_rules": quality,
+    "op6_mixture": mixture,
     "op8_exact_dedup": exact_dedup,
     "op10_chat_format": chat_format,
 }

@@ -11,7 +11,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 #: A table is sent to every executor only if it was counted and is no larger.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 100_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

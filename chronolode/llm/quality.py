@@ -40,8 +40,8 @@ class Rule:
 
 RULES = (
     Rule("symbols", "1000 * n_symbols div greatest(word_chars, 1)", 30),
-    Rule("duplicate_lines", "1000 * n_dup_lines div greatest(n_lines, 1)", 300),
-    Rule("repeated_words", "1000 * n_repeat_words div greatest(n_words, 1)", 150),
+    Rule("duplicate_lines", "1000 * n_dup_lines div greatest(n_lines, 1)", 500),
+    Rule("repeated_words", "1000 * n_repeat_words div greatest(n_words, 1)", 200),
     Rule("capitals", "1000 * n_capitals div greatest(word_chars, 1)", 200),
     Rule("word_length", "1000 * word_chars div greatest(n_words, 1)", 3000),
 )
