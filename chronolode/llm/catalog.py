@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolode.llm import chat_format, exact_dedup, mixture, quality
+from chronolode.llm import chat_format, exact_dedup, mixture, near_dedup, quality
 
 _MODULES = {
+    "op3_near_dedup": near_dedup,
     "op5_quality_rules": quality,
     "op6_mixture": mixture,
     "op8_exact_dedup": exact_dedup,
