@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolode.llm import chat_format, exact_dedup, mixture, near_dedup, quality
+from chronolode.llm import bpe, chat_format, exact_dedup, mixture, near_dedup, quality, token_counts
 
 _MODULES = {
     "op3_near_dedup": near_dedup,
+    "op4_bpe": bpe,
     "op5_quality_rules": quality,
     "op6_mixture": mixture,
+    "op7_token_counts": token_counts,
     "op8_exact_dedup": exact_dedup,
     "op10_chat_format": chat_format,
 }
