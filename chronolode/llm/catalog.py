@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolode.llm import bpe, chat_format, exact_dedup, mixture, near_dedup, quality, token_counts
+from chronolode.llm import bpe, chat_format, exact_dedup, mixture, near_dedup, quality, substring_dedup, token_counts
 
 _MODULES = {
     "op3_near_dedup": near_dedup,
@@ -15,6 +15,7 @@ _MODULES = {
     "op6_mixture": mixture,
     "op7_token_counts": token_counts,
     "op8_exact_dedup": exact_dedup,
+    "op9_substring_dedup": substring_dedup,
     "op10_chat_format": chat_format,
 }
 
