@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolode.llm import bpe, chat_format, exact_dedup, mixture, near_dedup, quality, substring_dedup, token_counts
+from chronolode.llm import bpe, chat_format, exact_dedup, language, mixing_lm, mixture, near_dedup, quality, substring_dedup, token_counts
 
 _MODULES = {
+    "op1_mixing_lm": mixing_lm,
+    "op2_language": language,
     "op3_near_dedup": near_dedup,
     "op4_bpe": bpe,
     "op5_quality_rules": quality,
