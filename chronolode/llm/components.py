@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolode.sources.scratch import materialise
+from chronolode.llm.common import materialise
+
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:

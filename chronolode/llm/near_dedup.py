@@ -10,11 +10,15 @@ retained values, a union-sketch estimate, and exact Jaccard on full sets.
    rarest first, by a table of ``COUNTERS`` counters; any order is correct, this one
    leaves passages that many documents share out of the lists.
 3. Links are found in rounds. In the first ones each list pairs its members with
-   one of them only; members of a large group of near copies so meet in one
-   component without all their pairs. The last round pairs what is still apart
-   in a list: every two members in different components.
-4. A pair goes on if its sizes and the estimate from the union of both sketches
-   allow the similarity, and is then decided on full sets.
+   one of them only, at first the one with the fewest rarer values; members of a
+   large group of near copies so meet in one component without all their pairs.
+   The last round compares what is still apart in a list: every two members in
+   different components.
+4. Each set also has a bitmap, whose cells say whether an odd number of values fell
+   there. The cells in which two sets differ are at most the values in which they
+   do, so a pair with too many cannot be similar; the last round's join tests this
+   before it makes a row. What passes goes on if the estimate from the union of both
+   sketches allows the similarity, and is then decided on full sets.
 
 Lists and pairs are joined by shuffles that Spark can split at a frequent value.
 
@@ -36,9 +40,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolode.llm import scan
-from chronolode.llm.common import packed, table, unpacked, written
+from chronolode.llm.common import materialise, packed, table, unpacked, written
 from chronolode.llm.components import components
-from chronolode.sources.scratch import materialise
 
 SHINGLE = 5
 #: Similarity from which documents are linked, in percent.
@@ -46,6 +49,8 @@ PERCENT = 75
 K = 64
 MISS = 1e-10
 COUNTERS = 1 << 18
+#: Cells of a bitmap.
+CELLS = 1024
 #: Rounds that pair lists with one member, before the one that pairs all.
 STAR_ROUNDS = 2
 
@@ -88,6 +93,8 @@ def _sketched(length: int, k: int):
                 sets = shingle_sets(data, offsets, length)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 kept = [s[:k] for s in sets]
+                cells = [np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=CELLS) & 1 for s in sets]
+                bits = np.packbits(np.array(cells, np.uint8), axis=1, bitorder="little").view(np.int64)
                 mark = [s.sum().tobytes() + scan.mix(s + np.uint64(n)).sum().tobytes() for s, n in zip(sets, sizes, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -95,8 +102,9 @@ def _sketched(length: int, k: int):
                         pa.array(sizes),
                         pa.array(mark, pa.binary()),
                         scan.lists(np.concatenate(kept).view(np.int64), np.minimum(sizes, k)),
+                        scan.lists(bits.ravel(), np.full(len(sets), CELLS // 64)),
                     ],
-                    [*(n for n in batch.schema.names if n != "t"), "n", "mark", "sketch"],
+                    [*(n for n in batch.schema.names if n != "t"), "n", "mark", "sketch", "bits"],
                 )
 
     return run
@@ -116,8 +124,9 @@ def _ordered(counts: bytes, percent: int):
                 rare = np.lexsort((own, often[own % np.uint64(len(often))]))
                 picked.append(own[rare[: len(own) - sure_overlap(len(own), percent) + 1]])
             lengths = [len(p) for p in picked[1:]]
-            columns = [pa.array(np.concatenate(picked).view(np.int64)), pa.array(np.repeat(nodes, lengths))]
-            yield pa.RecordBatch.from_arrays(columns, ["h", "node"])
+            rarer = np.concatenate([np.arange(n, dtype=np.int32) for n in [0, *lengths]])
+            columns = [pa.array(np.concatenate(picked).view(np.int64)), pa.array(np.repeat(nodes, lengths)), pa.array(rarer)]
+            yield pa.RecordBatch.from_arrays(columns, ["h", "node", "rarer"])
 
     return run
 
@@ -146,17 +155,21 @@ def _likely(k: int, percent: int):
 
 
 def _verified(length: int, percent: int):
+    """Pairs whose full sets are similar. A text that meets several others in a batch
+    is cut into shingles once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            texts = pa.chunked_array([batch.column("text_a"), batch.column("text_b")]).dictionary_encode().combine_chunks()
+            sets = [s for _, _, data, offsets in scan.parts(texts.dictionary) for s in shingle_sets(data, offsets, length)]
+            which = texts.indices.to_numpy().reshape(2, -1)
             good = np.zeros(batch.num_rows, bool)
-            for a, b, data, offsets in scan.parts(batch.column("text_a")):
-                left = shingle_sets(data, offsets, length)
-                right: list[np.ndarray] = []
-                for _, _, data_b, offsets_b in scan.parts(batch.column("text_b").slice(a, b - a)):
-                    right += shingle_sets(data_b, offsets_b, length)
-                for i, (x, y) in enumerate(zip(left, right, strict=True)):
-                    shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                    good[a + i] = shared and 100 * shared >= percent * (len(x) + len(y) - shared)
+            for i, (a, b) in enumerate(which.T.tolist()):
+                x, y = sets[a], sets[b]
+                place = np.searchsorted(x, y)
+                place[place == len(x)] = 0
+                shared = int(np.count_nonzero(x[place] == y))
+                good[i] = 100 * shared >= percent * (len(x) + len(y) - shared)
             yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return run
@@ -181,33 +194,42 @@ class _Search:
 
     def __init__(self, texts: DataFrame, nodes: DataFrame, length: int, percent: int, k: int) -> None:
         self.texts, self.nodes, self.length, self.percent, self.k = texts, nodes, length, percent, k
-        lists = nodes.select("node", "sketch").mapInArrow(_ordered(_order_counts(nodes), percent), "h long, node long")
+        lists = nodes.select("node", "sketch").mapInArrow(_ordered(_order_counts(nodes), percent), "h long, node long, rarer int")
         several = lists.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
         self.lists = materialise(lists.join(several, "h"), "lists")
 
     def star(self, lists: DataFrame, turn: int) -> DataFrame:
         """Each list's members with one of them, another one each turn."""
-        if turn:
-            one = lists.groupBy("h").agg(F.min_by(F.struct("node", "root"), F.xxhash64("node", F.lit(turn))).alias("one"))
-            met = lists.join(one, "h").filter("root <> one.root").select("node", F.col("one.node").alias("other"))
-        else:
-            one = lists.groupBy("h").agg(F.min("node").alias("other"))
-            met = lists.join(one, "h").filter("node <> other")
+        rank = F.struct(F.xxhash64("node", F.lit(turn)) if turn else F.col("rarer"), "node")
+        one = lists.groupBy("h").agg(F.min_by(F.struct("node", "root"), rank).alias("one"))
+        met = lists.join(one, "h").filter("node <> one.node AND root <> one.root").select("node", F.col("one.node").alias("other"))
         return met.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
     def every(self, lists: DataFrame) -> DataFrame:
-        """Every two members of a list that are in different components."""
-        x = lists.select("h", F.col("node").alias("a"), F.col("root").alias("ra"))
-        y = lists.select("h", F.col("node").alias("b"), F.col("root").alias("rb"))
-        return x.join(y, "h").filter("a < b AND ra <> rb").select("a", "b").distinct()
+        """Every two members of a list that are in different components and may be
+        similar."""
+        sized = lists.join(self.nodes.select("node", "n", "bits"), "node")
+        x, y = (sized.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "bits")]) for side in "ab")
+        apart = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
+        met = x.join(y, (x["h"] == y["h"]) & apart & self._possible())
+        return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+    def _possible(self) -> Column:
+        """Sizes and bitmaps allow the similarity: sets share at most half of both sizes
+        less the cells in which they differ."""
+        differ = F.lit(0)
+        for i in range(CELLS // 64):
+            differ += F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i]))
+        sizes = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
+        return sizes & ((100 + self.percent) * differ <= (100 - self.percent) * (F.col("n_a") + F.col("n_b")))
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are links."""
-        for side in ("a", "b"):
-            own = self.nodes.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"sketch_{side}"))
-            pairs = pairs.join(own, side)
-        sized = pairs.filter(100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b"))
-        sized = sized.select("a", "b", "sketch_a", "sketch_b")
+        a, b = (
+            self.nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "bits", "sketch")]) for side in "ab"
+        )
+        joined = pairs.join(a, "a")
+        sized = joined.join(b, (joined["b"] == b["b"]) & self._possible()).select("a", b["b"], "sketch_a", "sketch_b")
         likely = materialise(sized.mapInArrow(_likely(self.k, self.percent), "a long, b long"), "pairs")
         asked = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         keys, _ = written(self.nodes.select("node", "key").join(asked, "node"), "asked")
@@ -249,15 +271,15 @@ def _classes(keyed: DataFrame, length: int = SHINGLE, percent: int = PERCENT, k:
     component."""
     bare = keyed.drop("row")
     rows = materialise(
-        bare.mapInArrow(_sketched(length, k), f"id {dict(bare.dtypes)['id']}, key binary, n long, mark binary, sketch array<long>"),
+        bare.mapInArrow(_sketched(length, k), f"id {dict(bare.dtypes)['id']}, key binary, n long, mark binary, sketch array<long>, bits array<long>"),
         "sketches",
     )
     full = rows.filter("n > 0")
     best = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key")))
     # all rows of a node have the same set, so any of their sketches will do
-    nodes = full.groupBy("mark").agg(best.alias("best"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = full.groupBy("mark").agg(best.alias("best"), *[F.first(c).alias(c) for c in ("n", "sketch", "bits")])
     nodes = materialise(
-        nodes.select("mark", "best", F.col("best.key").alias("key"), "n", "sketch", F.monotonically_increasing_id().alias("node")),
+        nodes.select("mark", "best", F.col("best.key").alias("key"), "n", "sketch", "bits", F.monotonically_increasing_id().alias("node")),
         "nodes",
     )
     roots = _Search(keyed.select("key", "t"), nodes, length, percent, k).roots()
@@ -266,7 +288,7 @@ def _classes(keyed: DataFrame, length: int = SHINGLE, percent: int = PERCENT, k:
     least = placed.groupBy("root").agg(F.min("best").alias("least"))
     marks = placed.join(least, "root").select("mark", "least")
     alone = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"))
-    return rows.drop("sketch").join(marks, "mark", "left").withColumn("least", F.coalesce("least", alone))
+    return rows.drop("sketch", "bits").join(marks, "mark", "left").withColumn("least", F.coalesce("least", alone))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: int) -> DataFrame:
