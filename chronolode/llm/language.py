@@ -46,7 +46,7 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 TOGETHER, WORDS = 1500, 1 << 16
 #: Each letter's probability is scaled by this, so that products stay in range.
 _SCALE = 1e2
-#: Longer words are scored one by one, with rescaling.
+#: Longer words are scored one by one, with rescaling, and learned from in blocks.
 _LONG = 60
 _FRACTION = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -83,6 +83,10 @@ class Pieces:
                 break
         if len(left):
             raise ValueError("pieces cannot be told apart")
+        # a bit by hash for all that a longer piece begins with; others may set it too
+        self.begins = np.zeros(1 << self.bits, bool)
+        heads = {p[:i] for p in names for i in range(1, len(p))}
+        self.begins[self._slot(np.array([self._hash(p) for p in heads], np.uint64), 0)] = True
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -94,6 +98,9 @@ class Pieces:
     def _slot(self, keys: np.ndarray, turn: int) -> np.ndarray:
         return (scan.mix(keys + np.uint64(turn)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def goes_on(self, keys: np.ndarray) -> np.ndarray:
+        return self.begins[self._slot(keys, 0)]
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Number of each piece, -1 for none."""
         out = np.full(len(keys), -1, np.int32)
@@ -119,18 +126,24 @@ def _lattices(pieces: Pieces, words: list[str]) -> Iterator[tuple[np.ndarray, in
         which = np.flatnonzero(lengths == length)
         grid = codes[first[which][:, None] + np.arange(length)]
         edges = []
-        hashes = np.zeros((len(which), length + 1), np.uint64)
-        for size in range(1, min(length, pieces.longest) + 1):
-            hashes = (hashes[:, : length - size + 1] + grid[:, size - 1 :]) * _BASE
-            found = pieces.find(hashes.ravel()).reshape(hashes.shape)
-            for begin in range(length - size + 1):
-                column = found[:, begin]
-                if size == 1:
-                    edges.append((begin, begin + 1, np.arange(len(which)), np.where(column < 0, pieces.size, column)))
-                    continue
-                rows = np.flatnonzero(column >= 0)
-                if len(rows):
-                    edges.append((begin, begin + size, rows, column[rows]))
+        # spans of one size, by begin and word: those that some piece begins with
+        begin, row = np.repeat(np.arange(length), len(which)), np.tile(np.arange(len(which)), length)
+        hashes = grid.T.ravel() * _BASE
+        for size in range(1, length + 1):
+            found = pieces.find(hashes)
+            if size == 1:
+                found[found < 0] = pieces.size
+            at = np.flatnonzero(found >= 0)
+            bounds = np.searchsorted(begin[at], np.arange(length + 1)).tolist()
+            for b in range(length - size + 1):
+                if bounds[b] < bounds[b + 1]:
+                    own = at[bounds[b] : bounds[b + 1]]
+                    edges.append((b, b + size, row[own], found[own]))
+            on = np.flatnonzero(pieces.goes_on(hashes) & (begin + size < length))
+            if not len(on):
+                break
+            begin, row = begin[on], row[on]
+            hashes = (hashes[on] + grid[row, begin + size]) * _BASE
         edges.sort(key=lambda e: e[1])
         yield which, length, edges
 
@@ -171,10 +184,9 @@ def _long_score(pieces: Pieces, model: np.ndarray, word: str) -> np.ndarray:
         if ids[0] < 0:
             ids[0] = pieces.size
         new = sum(recent[-1 - k] * model[i] for k, i in enumerate(ids.tolist()) if i >= 0)
-        scale = new.max()
-        recent = [r / scale for r in recent[-pieces.longest :]] + [new / scale]
-        total += np.log(scale)
-    return total + np.log(recent[-1])
+        recent = [r / new for r in recent[-pieces.longest :]] + [np.ones(model.shape[1])]
+        total += np.log(new)  # each language by its own sum, so none runs out of range
+    return total
 
 
 def _spell(text: str) -> list[str]:
@@ -194,6 +206,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together to about ``WORDS`` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= WORDS:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def _expected(path: str, langs: list[str], model: np.ndarray | None):
     """Expected uses (lang, piece, uses) over all segmentations of each word, or
     with no model yet, over all places where a piece fits."""
@@ -203,12 +227,13 @@ def _expected(path: str, langs: list[str], model: np.ndarray | None):
         rows_ = pieces.size + 1
         uses = np.zeros(rows_ * len(langs))
         flat = None if model is None else np.ascontiguousarray(model.T).ravel()
-        for batch in batches:
-            words = ["▁" + w for w in batch.column("word").to_pylist()]
-            short = np.array([i for i, w in enumerate(words) if len(w) <= _LONG], np.int64)
-            n = batch.column("n").to_numpy().astype(float)[short]
-            base = np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64)[short] * rows_
-            for which, length, edges in _lattices(pieces, [words[i] for i in short]):
+        for batch in _gathered(batches):
+            # a very long word is learned from in blocks
+            cut = [["▁" + w] if len(w) < _LONG else [("▁" + w)[i : i + _LONG] for i in range(0, len(w) + 1, _LONG)] for w in batch.column("word").to_pylist()]
+            words, times = [x for block in cut for x in block], [len(block) for block in cut]
+            n = np.repeat(batch.column("n").to_numpy().astype(float), times)
+            base = np.repeat(np.array([number[x] for x in batch.column("lang").to_pylist()], np.int64) * rows_, times)
+            for which, length, edges in _lattices(pieces, words):
                 of, weight = base[which], n[which]
                 if flat is None:
                     for _, _, rows, ids in edges:
@@ -224,7 +249,7 @@ def _expected(path: str, langs: list[str], model: np.ndarray | None):
                 share = weight / alpha[length]
                 at = np.concatenate([of[rows] + ids for _, _, rows, ids in edges])
                 by = np.concatenate([share[rows] * alpha[b][rows] * p * beta[e][rows] for (b, e, rows, _), p in zip(edges, prob, strict=True)])
-                np.add.at(uses, at, by)
+                uses += np.bincount(at, by, len(uses))
         found = np.flatnonzero(uses)
         yield pa.RecordBatch.from_arrays(
             [pa.array(found // rows_), pa.array(found % rows_), pa.array(np.rint(uses[found] * _FRACTION).astype(np.int64))],
