@@ -195,7 +195,8 @@ ItemRule = Bands | Quantiles | Category | Mapped | HourOfDay | Positive
 
 def discretize(df: DataFrame, rules: Sequence[ItemRule], keep: Sequence[str] = ()) -> DataFrame:
     """One ``ATTR=value`` column per rule, named after its attribute, next to
-    the columns in ``keep``. All quantile rules share one pass for their edges."""
+    the columns in ``keep``. All quantile rules share one pass for their edges; rules
+    without quantiles look at one row only and work on a stream as well."""
     by_quantile = [r for r in rules if isinstance(r, Quantiles)]
     edges: dict[tuple[str, int], list] = {}
     for q in {len(r.labels) for r in by_quantile}:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolode.functions.calendar import add_calendar, cyclical
-from chronolode.functions.encoding import category_levels, one_hot
+from chronolode.functions.encoding import MAX_LEVELS, category_levels, one_hot
 from chronolode.operators.ordering import TimeOrder, block_window, drop_copies, over_series, spread_blocks
 from chronolode.operators.series import (
     complete_rows,
@@ -25,13 +25,15 @@ from chronolode.operators.series import (
 class FeatureSpec:
     """Which columns become features. ``label`` is gap-filled first; its lags and
     rolling means come from the filled values and see earlier rows only. The
-    other columns are used as of the row itself."""
+    other columns are used as of the row itself. A category of more than
+    ``max_levels`` levels is an error, as each becomes a column."""
 
     label: str
     numeric: tuple[str, ...] = ()
     category: str | None = None
     category_prefix: str = "cat"
     levels: tuple[str, ...] | None = None
+    max_levels: int = MAX_LEVELS
     lags: tuple[int, ...] = (1, 2)
     windows: tuple[int, ...] = (6, 24)
     calendar: bool = True
@@ -58,7 +60,7 @@ def with_levels(df: DataFrame, spec: FeatureSpec) -> FeatureSpec:
     """Fix the category levels, so that the output columns are known."""
     if spec.category is None or spec.levels is not None:
         return spec
-    return replace(spec, levels=tuple(category_levels(df, spec.category)))
+    return replace(spec, levels=tuple(category_levels(df, spec.category, spec.max_levels)))
 
 
 def _feature_columns(
@@ -83,8 +85,8 @@ def _feature_columns(
         filled = fill_blocks(spread, kept, spec.label, order, spec.label, spec.fill, back, ahead)
         w = block_window(order)
         wide = drop_copies(filled.select("*", *[f(w).alias(name) for name, f in exprs.items()]))
-    if spec.category:
-        wide = one_hot(wide, spec.category, spec.category_prefix, spec.levels)
+    if spec.category:  # the column itself stays, as it may be a key too
+        wide = one_hot(wide.withColumn("__category", F.col(spec.category)), "__category", spec.category_prefix, spec.levels)
     if spec.calendar:
         wide = add_calendar(wide, order.ts, "__hour", "__dow", "__month")
         circles = {}
@@ -97,13 +99,14 @@ def _feature_columns(
 def build_features(df: DataFrame, spec: FeatureSpec, order: TimeOrder, horizon: int = 0) -> DataFrame:
     """Gap fill, encoding, calendar, lags, rolling means and target in one plan.
     Returns the order columns, the features of ``spec.columns`` and ``label``;
-    rows with any null (the first rows of a series, the last ``horizon``) go.
+    rows with a null feature or label (the first rows of a series, the last
+    ``horizon``) go; a null among the ties does not matter.
 
     The target of a row lies ``horizon`` rows after it, and ``lag_1`` is the row
     before it, so ``horizon`` counts extra rows ahead of a one-step forecast."""
     wide, spec = _feature_columns(df, spec, order, [horizon])
     kept = wide.select(*order.all_cols, *spec.columns, F.col(f"__y{horizon}").alias("label"))
-    return complete_rows(kept)
+    return complete_rows(kept, [*spec.columns, "label"])
 
 
 def horizon_features(df: DataFrame, spec: FeatureSpec, order: TimeOrder, horizons: Sequence[int]) -> DataFrame:
@@ -111,6 +114,8 @@ def horizon_features(df: DataFrame, spec: FeatureSpec, order: TimeOrder, horizon
     features are computed once; only the target differs."""
     wide, spec = _feature_columns(df, spec, order, horizons)
     targets = F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"__y{h}").alias("label")) for h in horizons])
-    kept = complete_rows(wide.select(*order.all_cols, *spec.columns, targets.alias("__t")))
+    kept = complete_rows(wide.select(*order.all_cols, *spec.columns, targets.alias("__t")), spec.columns)
     stacked = kept.select(*order.all_cols, *spec.columns, F.explode("__t").alias("__target"))
-    return complete_rows(stacked.select(F.col("__target.horizon"), *order.all_cols, *spec.columns, F.col("__target.label")))
+    return complete_rows(
+        stacked.select(F.col("__target.horizon"), *order.all_cols, *spec.columns, F.col("__target.label")), ["label"]
+    )

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from chronolode.functions.encoding import ItemRule, discretize, to_baskets
 from chronolode.sources.scratch import materialise
 
+#: Subsets that one aggregate counts, of all baskets and of any single one.
 MAX_SUBSETS = 50_000_000
+MAX_BASKET_SUBSETS = 20_000
 
 
 def distinct_baskets(tx: DataFrame, items: str = "items", weight: str | None = None) -> DataFrame:
@@ -71,14 +73,6 @@ def candidate_sets(frequent: DataFrame) -> DataFrame:
     return looked_up.where(F.col("hits") == F.size("candidate")).select(F.col("candidate").alias("itemset"))
 
 
-def _extend(held: DataFrame) -> DataFrame:
-    """Each held set with one larger item of its own basket added."""
-    larger = F.filter("items", lambda x: x > F.element_at("itemset", -1))
-    return held.select(
-        "items", "w", F.explode(F.transform(larger, lambda x: F.concat("itemset", F.array(x)))).alias("itemset")
-    )
-
-
 def _subsets(baskets: DataFrame, max_len: int) -> DataFrame:
     """Every subset of up to ``max_len`` items of every basket."""
     sets = F.transform("items", lambda x: F.array(x))
@@ -107,49 +101,55 @@ def frequent_itemsets(
     of the transactions, as ``(itemset, n_tx, support)``.
 
     ``items`` must be sorted arrays without repeats, as ``to_transactions`` and
-    ``to_baskets`` make them; ``weight`` is the count column of the latter. Tables of a few categorical
-    columns have few distinct baskets whatever their length; when all of their
-    subsets number at most ``max_subsets``, one aggregate counts them. Otherwise
+    ``to_baskets`` make them; ``weight`` is the count column of the latter. Items
+    that are not frequent alone leave the baskets first, and baskets that are then
+    equal become one. If the subsets of what is left are few, in all (at most
+    ``max_subsets``) and in each basket, one aggregate counts them. Otherwise
     mining goes level by level and a set is only counted when all of its subsets
     are frequent. The results are the same.
     """
-    baskets = materialise(distinct_baskets(tx, items, weight), "baskets")
-    widths = baskets.groupBy(F.size("items").alias("m")).agg(F.count("*").alias("n"), F.sum("w").alias("w")).collect()
-    n = sum(r["w"] for r in widths)
-    subsets = sum(r["n"] * comb(r["m"], k) for r in widths for k in range(1, max_len + 1))
-    if subsets <= max_subsets:
+    whole = materialise(distinct_baskets(tx, items, weight), "baskets")
+    n = whole.agg(F.sum("w")).first()[0] or 0
+    first = materialise(_level_one(whole, max(n, 1), min_support), "itemsets")
+    baskets = _pruned(whole, first.select(F.col("itemset")[0].alias("item")))
+    widths = baskets.groupBy(F.size("items").alias("m")).agg(F.count("*").alias("n")).collect()
+    subsets = {r["m"]: sum(comb(r["m"], k) for k in range(1, max_len + 1)) for r in widths}
+    total = sum(r["n"] * subsets[r["m"]] for r in widths)
+    if total <= max_subsets and max(subsets.values(), default=0) <= MAX_BASKET_SUBSETS:
         counts = _subsets(baskets, max_len).groupBy("itemset").agg(F.sum("w").alias("n_tx"))
         return materialise(_frequent(counts, max(n, 1), min_support), "itemsets")
-    return _by_level(baskets, n, min_support, max_len)
-
-
-def _by_level(baskets: DataFrame, n: int, min_support: float, max_len: int) -> DataFrame:
-    """Level by level: each basket extends the frequent sets it holds by one of
-    its own items; sets that are no candidates go by semi-join before counting.
-    A level is small (its size times ``min_support`` cannot exceed the sets per
-    basket). Levels and candidates are written, so Spark knows their size when it
-    plans the semi-joins and broadcasts them if that allows."""
-    level = materialise(_level_one(baskets, n, min_support), "itemsets")
-    found = level
-    known = level.select(F.col("itemset")[0].alias("item"))
-    held = (
-        baskets.select("items", "w", F.explode("items").alias("item"))
-        .join(known, "item", "left_semi")
-        .select("items", "w", F.array("item").alias("itemset"))
-    )
+    return _by_level(baskets, first, n, min_support, max_len)
+
+
+def _pruned(baskets: DataFrame, known: DataFrame) -> DataFrame:
+    """Distinct baskets of the known items alone, numbered."""
+    cells = baskets.select(F.monotonically_increasing_id().alias("id"), "w", "items")
+    cells = materialise(cells, "baskets").select("id", "w", F.explode("items").alias("item"))
+    kept = cells.join(known, "item", "left_semi").groupBy("id").agg(F.first("w").alias("w"), F.sort_array(F.collect_list("item")).alias("items"))
+    equal = kept.groupBy("items").agg(F.sum("w").alias("w"))
+    return materialise(equal.select(F.monotonically_increasing_id().alias("id"), "items", "w"), "baskets")
+
+
+def _by_level(baskets: DataFrame, first: DataFrame, n: int, min_support: float, max_len: int) -> DataFrame:
+    """Level by level: the frequent sets that each basket holds, one row each, join
+    the basket's items beyond their last one; sets that are no candidates go by
+    semi-join before counting. Levels and held sets are written, so that a level
+    costs its own joins alone and Spark knows sizes when it plans them."""
+    cells = materialise(baskets.select("id", "w", F.explode("items").alias("item")), "cells")
+    held = cells.select("id", "w", F.array("item").alias("itemset"), F.col("item").alias("last"))
+    level = found = first
     for size in range(2, max_len + 1):
         if level.isEmpty():
             break
-        grown = _extend(held)
-        if size == 2:
-            # both items frequent is all there is to check
-            held = grown.join(known, F.element_at("itemset", -1) == F.col("item"), "left_semi")
-        else:
-            candidates = materialise(candidate_sets(level), "candidates")
-            held = grown.join(candidates, "itemset", "left_semi")
-        counts = held.groupBy("itemset").agg(F.sum("w").alias("n_tx"))
+        more = cells.select("id", "item")
+        grown = held.join(more, "id").where(F.col("item") > F.col("last"))
+        grown = grown.select("id", "w", F.concat("itemset", F.array("item")).alias("itemset"), F.col("item").alias("last"))
+        if size > 2:  # of two items, both frequent is all there is to check
+            grown = grown.join(materialise(candidate_sets(level), "candidates"), "itemset", "left_semi")
+        counts = grown.groupBy("itemset").agg(F.sum("w").alias("n_tx"))
         level = materialise(_frequent(counts, n, min_support), "itemsets")
-        held = held.join(level, "itemset", "left_semi")
+        if size < max_len:
+            held = materialise(grown.join(level.select("itemset"), "itemset", "left_semi").select("id", "w", "itemset", "last"), "held")
         found = found.unionByName(level)
     return found
 

@@ -191,7 +191,7 @@ def fit(spec: ModelSpec, table: TrainingTable) -> Model:
 
 
 def score(model: Transformer, df: DataFrame) -> DataFrame:
-    """Add ``prediction``."""
+    """Add ``prediction``; works on a stream as well."""
     return model.transform(df).drop("__features")
 
 

@@ -67,13 +67,20 @@ def paired_t_test(df: DataFrame, a: str, b: str, by: Sequence[str]) -> DataFrame
 
 
 def wilcoxon_signed_rank(
-    df: DataFrame, a: str, b: str, by: Sequence[str], pair_id: str = "fold", max_rows: int = MAX_SERIES_ROWS
+    df: DataFrame,
+    a: str,
+    b: str,
+    by: Sequence[str],
+    pair_id: str = "fold",
+    max_rows: int = MAX_SERIES_ROWS,
+    method: str = "auto",
 ) -> DataFrame:
     """Two-sided signed rank test per group: ``(by..., n_nonzero, w_stat, w_p)``.
 
-    Zero differences are dropped and equal sizes share their mean rank. Without
-    ties and with up to 50 pairs p is exact, otherwise normal with tie
-    correction. Groups without any difference give null. Ranks are positions by
+    Zero differences are dropped and equal sizes share their mean rank. By
+    ``method`` "auto" p is exact without ties and with up to 50 pairs, otherwise
+    normal with tie correction; "exact" gives null where that is not defined or
+    beyond those pairs, "normal" uses the approximation always. Groups without any difference give null. Ranks are positions by
     size, so that a long group is not ranked in one task."""
     diffs = df.select(*by, pair_id, (F.col(a) - F.col(b)).alias("__d"))
     sized = diffs.where(F.col("__d").isNotNull() & (F.col("__d") != 0)).withColumn("__size", F.abs("__d"))
@@ -94,10 +101,10 @@ def wilcoxon_signed_rank(
     n = F.col("n_nonzero").cast("double")
     w = F.least("__plus", "__minus")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__tied") / 48)
-    exact = (F.col("n_nonzero") <= EXACT_PAIRS) & (F.col("__most") == 1)
-    p = F.when(exact, signed_rank_exact(w, F.least(F.col("n_nonzero"), F.lit(EXACT_PAIRS)))).otherwise(
-        normal_two_sided((w - n * (n + 1) / 4) / spread)
-    )
+    countable = (F.col("n_nonzero") <= EXACT_PAIRS) & (F.col("__most") == 1)
+    exact = F.when(countable, signed_rank_exact(w, F.least(F.col("n_nonzero"), F.lit(EXACT_PAIRS))))
+    normal = normal_two_sided((w - n * (n + 1) / 4) / spread)
+    p = {"auto": F.when(countable, exact).otherwise(normal), "exact": exact, "normal": normal}[method]
     tested = sums.select(*by, "n_nonzero", w.alias("w_stat"), p.alias("w_p"))
     return df.select(*by).distinct().join(tested, list(by), "left")
 

@@ -33,10 +33,10 @@ def read_observations(
     spark: SparkSession,
     path: str,
     schema: T.StructType | str,
-    null_values: Sequence[str] = ("NA",),
+    null_values: Sequence[str] = USUAL_NULLS,
 ) -> DataFrame:
     """Scan a CSV with a header; every token of ``null_values`` and every empty
-    field is missing; ``USUAL_NULLS`` lists the common ones. Columns are taken by place, so ``schema`` may rename them
+    field is missing. Columns are taken by place, so ``schema`` may rename them
     (``pm2.5`` to ``pm25``). A field that does not parse is an error."""
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)

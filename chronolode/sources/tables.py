@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chronolode.sources.observations import nan_to_null
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A parquet table, with NULL in place of NaN."""
+    return nan_to_null(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "csv", null_value: str = "NA") -> None:

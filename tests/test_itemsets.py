@@ -122,3 +122,18 @@ def test_wide_baskets_stay_exact(spark):
     got = frequent_itemsets(table(spark, wide), 0.7, 3, max_subsets=100)
     assert as_dict(got) == {("i00",): 0.75, ("i29",): 0.75, ("i00", "i29"): 0.75}
     assert got.where(F.size("itemset") > 2).isEmpty()
+
+
+def test_very_wide_baskets(spark):
+    """Few of a thousand items are frequent; no basket may be expanded as it is."""
+    baskets = [[f"f{j:02d}" for j in range(20) if (i + j) % 10] + [f"r{i:02d}x{j:04d}" for j in range(980)] for i in range(50)]
+    common = [[x for x in b if x[0] == "f"] for b in baskets]
+    got = as_dict(frequent_itemsets(table(spark, baskets), 0.5, 3))
+    assert got == brute_force(common, 0.5, 3)
+    assert as_dict(frequent_itemsets(table(spark, baskets), 0.5, 3, max_subsets=0)) == got
+
+
+def test_one_wide_basket_goes_level_by_level(spark):
+    baskets = [[f"i{j:03d}" for j in range(200)]] * 3 + [["i000", "i001"]] * 97
+    got = frequent_itemsets(table(spark, baskets), 0.5, 3)
+    assert as_dict(got) == {("i000",): 1.0, ("i001",): 1.0, ("i000", "i001"): 1.0}

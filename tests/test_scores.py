@@ -5,6 +5,7 @@ from itertools import product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronolode.operators.scoring import (
     best_model,
@@ -193,3 +194,13 @@ def test_all_pairs_of_one_metric(spark):
     w = min(ranks[d > 0].sum(), ranks[d < 0].sum())
     null = [sum(r for r, s in zip(range(1, 6), signs) if s) for signs in product((0, 1), repeat=5)]
     assert row["w_p"] == pytest.approx(min(1, 2 * np.mean(np.array(null) <= w)))
+
+
+def test_signed_rank_method(spark):
+    rows = [(i, float(i), float(i) + (1 if i % 3 else -1) * (0.1 + i / 100)) for i in range(12)]
+    df = spark.createDataFrame(rows, "fold int, a double, b double").withColumn("g", F.lit("x"))
+    p = {m: wilcoxon_signed_rank(df, "a", "b", ["g"], method=m).first()["w_p"] for m in ("auto", "exact", "normal")}
+    assert p["auto"] == p["exact"] != p["normal"]
+    tied = df.withColumn("b", F.col("a") + 1)
+    q = {m: wilcoxon_signed_rank(tied, "a", "b", ["g"], method=m).first()["w_p"] for m in ("auto", "exact", "normal")}
+    assert q["exact"] is None and q["auto"] == q["normal"]

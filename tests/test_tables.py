@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronolode.functions.calendar import period_start
-from chronolode.functions.encoding import Bands, HourOfDay, Quantiles
+from chronolode.functions.encoding import Bands, HourOfDay, discretize
 from chronolode.operators.profile import (
     band_counts,
     box_stats,
@@ -16,8 +16,7 @@ from chronolode.operators.profile import (
 )
 from chronolode.sources.observations import USUAL_NULLS, nan_to_null, read_observations, with_month_start, with_timestamp
 from chronolode.sources.scratch import checkpoint_folder, fixed_partitions, materialise
-from chronolode.sources.tables import to_table, write_table
-from chronolode.streaming import encode_stream
+from chronolode.sources.tables import load, to_table, write_table
 
 CSV = """No,year,month,day,hour,pm2.5,cbwd
 1,2010,1,1,0,NA,NW
@@ -158,17 +157,26 @@ def test_row_wise_items_on_a_stream(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     rules = [Bands("X", "x", (0.0, 50.0, 100.0), ("low", "high")), HourOfDay("TIME", "hour")]
-    query = encode_stream(stream, rules, ["id"]).writeStream.format("memory").queryName("items").start()
+    query = discretize(stream, rules, ["id"]).writeStream.format("memory").queryName("items").start()
     query.processAllAvailable()
     query.stop()
     assert sorted(tuple(r) for r in spark.table("items").collect()) == [
         (1, "X=low", "TIME=Morning"),
         (2, "X=high", "TIME=Night"),
     ]
-    with pytest.raises(ValueError):
-        encode_stream(stream, [Quantiles("X", "x")])
 
 
 def test_hot_value_does_not_change_counts(spark):
     df = spark.range(3000).select(F.when(F.col("id") < 2000, 1.0).otherwise(F.col("id") * 1.0).alias("x"))
     assert histogram(df, "x", 10).agg(F.sum("n")).first()[0] == 3000
+
+
+def test_load_turns_nan_into_null(spark, tmp_path):
+    spark.createDataFrame([(1, float("nan")), (2, 1.0)], "id int, x double").write.parquet(str(tmp_path / "t.parquet"))
+    assert sorted((r["id"], r["x"]) for r in load(spark, str(tmp_path), "t").collect()) == [(1, None), (2, 1.0)]
+
+
+def test_usual_nulls_are_the_default(spark, tmp_path):
+    path = tmp_path / "nulls.csv"
+    path.write_text("a,b\n1,n/a\n2,NULL\n3,7\n")
+    assert [r["b"] for r in read_observations(spark, str(path), "a int, b double").orderBy("a").collect()] == [None, None, 7.0]

@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from chronolode.operators.features import FeatureSpec, build_features, horizon_features
+from chronolode.operators.features import FeatureSpec, build_features, horizon_features, with_levels
 from chronolode.operators.ordering import (
     TimeOrder,
     expanding_folds,
@@ -177,3 +177,21 @@ def test_complete_rows(spark):
     df = spark.createDataFrame([(1, None), (None, 2), (3, 4)], "a int, b int")
     assert complete_rows(df).count() == 1
     assert complete_rows(df, ["a"]).count() == 2
+
+
+def test_null_ties_and_category_keys_lose_no_rows(spark):
+    rows = [(f"k{i % 2}", i, None if i % 3 else i, float(i)) for i in range(40)]
+    df = spark.createDataFrame(rows, "kind string, t long, tie long, x double").withColumn("ts", F.timestamp_seconds("t"))
+    order = TimeOrder("ts", ties=("tie",), keys=("kind",))
+    spec = FeatureSpec("x", category="kind", lags=(1,), windows=(2,), calendar=False)
+    out = build_features(df, spec, order)
+    assert out.count() == 40 - 2 * 2
+    assert {"kind", "cat_k0", "cat_k1"} <= set(out.columns)
+    assert out.where((F.col("kind") == "k0") & (F.col("cat_k0") != 1)).isEmpty()
+
+
+def test_category_levels_can_be_raised(spark):
+    df = spark.range(1200).select(F.timestamp_seconds("id").alias("ts"), F.col("id").cast("string").alias("c"), F.col("id").cast("double").alias("x"))
+    with pytest.raises(ValueError):
+        with_levels(df, FeatureSpec("x", category="c"))
+    assert len(with_levels(df, FeatureSpec("x", category="c", max_levels=1200)).levels) == 1200
