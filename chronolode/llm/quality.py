@@ -176,7 +176,10 @@ def judged(df: DataFrame, cuts: DataFrame, keys: tuple[str, ...], rules: tuple[R
     for r in rules:
         within &= F.expr(r.value) <= F.col("_cuts")[r.name]
     joined = df.join(cuts, same, "left").withColumn("base_failed", base_failed())
-    return joined.withColumn("kept", ~F.col("base_failed") & within).drop("_cuts", *[f"_{k}" for k in keys])
+    # one condition on both sides: a part on measures alone would be pushed below
+    # them as a filter, and every measure taken anew for each time it is named
+    kept = F.when(F.col("base_failed"), False).otherwise(within)
+    return joined.withColumn("kept", kept).drop("_cuts", *[f"_{k}" for k in keys])
 
 
 def _measured_rows(docs: DataFrame, id_col: str, text_col: str, keys: tuple[str, ...]) -> DataFrame:
