@@ -1,4 +1,4 @@
-"""Exact linear quantiles that do not gather a column in one task.
+"""Exact linear quantiles that do not gather a column or group in one task.
 
 Two ways, chosen by measured size, with the same result:
 
@@ -6,167 +6,133 @@ Two ways, chosen by measured size, with the same result:
 * otherwise each wanted rank is narrowed to a smaller and smaller value range by
   counting rows per equal-width cell, with map-side combine, so that what is
   shuffled is bounded by the number of cells. A cell that holds one value, however
-  often, is an answer.
+  often, is an answer. All groups are narrowed in the same passes; their ranges
+  are a table, and rows outside the ranges still open are left behind.
+
+On both ways NaN is no value, and infinite values rank at the ends.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolode.sources.scratch import materialise
+
 MAX_ROWS = 1_000_000
 _CELLS = 4096
-
-
-@dataclass(frozen=True)
-class _Range:
-    """Closed value range known to hold some wanted ranks of one column."""
-
-    col: int
-    lo: float
-    hi: float
-    below: int
-    rows: int
-    ranks: tuple[int, ...]
+#: Ranges sent to every executor; more of them join by a shuffle.
+_BROADCAST_RANGES = 50_000
 
 
 def _probs(probs: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(p)) for p in probs])
 
 
+def _value(col: str) -> Column:
+    v = F.col(col).cast("double")
+    return F.when(~F.isnan(v), v)
+
+
 def quantile_edges(
     df: DataFrame, cols: Sequence[str], probs: Sequence[float], max_rows: int = MAX_ROWS
 ) -> dict[str, list[float | None]]:
     """Quantiles of each column at each probability; all None when the column
     holds no value."""
-    exprs = {c: F.col(c).cast("double") for c in cols}
-    return dict(zip(cols, _edges(df, list(exprs.values()), probs, max_rows)))
-
-
-def _edges(df: DataFrame, values: list[Column], probs: Sequence[float], max_rows: int) -> list[list[float | None]]:
-    if not values:
-        return []
-    table = df.select(*[v.alias(f"v{i}") for i, v in enumerate(values)])
-    stats = table.agg(
-        *[
-            f.alias(f"{name}{i}")
-            for i in range(len(values))
-            for name, f in (
-                ("n", F.count(f"v{i}")),
-                ("lo", F.min(f"v{i}")),
-                ("hi", F.max(f"v{i}")),
-            )
-        ]
-    ).first()
-    found: list[list[float | None]] = [[None] * len(probs) for _ in values]
-
-    small = [i for i in range(len(values)) if 0 < stats[f"n{i}"] <= max_rows]
+    found: dict[str, list[float | None]] = {c: [None] * len(probs) for c in cols}
+    if not cols:
+        return found
+    table = df.select(*[_value(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    counts = table.agg(*[F.count(f"v{i}") for i in range(len(cols))]).first()
+    small = [i for i, n in enumerate(counts) if 0 < n <= max_rows]
     if small:
         row = table.agg(*[F.percentile(f"v{i}", _probs(probs)).alias(f"q{i}") for i in small]).first()
-        for i in small:
-            found[i] = list(row[f"q{i}"])
-
-    ranges = []
-    for i in range(len(values)):
-        n = stats[f"n{i}"]
-        if n <= max_rows:
-            continue
-        ranks = sorted({f((n - 1) * p) for p in probs for f in (math.floor, math.ceil)})
-        ranges.append(_Range(i, stats[f"lo{i}"], stats[f"hi{i}"], 0, n, tuple(ranks)))
-
-    if ranges:
-        at_rank = _values_at_ranks(table, ranges, max_rows)
-        for i in {r.col for r in ranges}:
-            n = stats[f"n{i}"]
-            found[i] = [_between(at_rank, i, (n - 1) * p) for p in probs]
+        found |= {cols[i]: list(row[f"q{i}"]) for i in small}
+    large = [i for i, n in enumerate(counts) if n > max_rows]
+    if large:
+        pairs = F.array(*[F.struct(F.lit(i).alias("g"), F.col(f"v{i}").alias("v")) for i in large])
+        rows = table.select(F.explode(pairs).alias("p")).select("p.g", "p.v").where(F.col("v").isNotNull())
+        found |= {cols[r["g"]]: list(r["q"]) for r in _by_narrowing(rows, probs, max_rows).collect()}
     return found
 
 
-def _between(at_rank: dict[tuple[int, int], float], col: int, place: float) -> float:
-    lo, hi = at_rank[col, math.floor(place)], at_rank[col, math.ceil(place)]
-    part = place - math.floor(place)
-    return lo if part == 0 or lo == hi else (1 - part) * lo + part * hi
-
-
-def _values_at_ranks(table: DataFrame, ranges: list[_Range], max_rows: int) -> dict[tuple[int, int], float]:
-    done: dict[tuple[int, int], float] = {}
-    while ranges:
-        open_ranges = []
-        for r in ranges:
-            if r.lo == r.hi:
-                done.update({(r.col, k): r.lo for k in r.ranks})
-            else:
-                open_ranges.append(r)
-        if not open_ranges:
+def _by_narrowing(rows: DataFrame, probs: Sequence[float], max_rows: int) -> DataFrame:
+    """(g, n, q) of all groups of (g, v)."""
+    finite = F.when(F.abs("v") < F.lit(float("inf")), F.col("v"))
+    groups = materialise(
+        rows.groupBy("g").agg(
+            F.count("*").alias("n"),
+            F.count_if(F.col("v") == F.lit(float("-inf"))).alias("low"),
+            F.count(finite).alias("inner"),
+            F.min(finite).alias("lo"),
+            F.max(finite).alias("hi"),
+        ),
+        "groups",
+    )
+    places = F.transform(_probs(probs), lambda p: (F.col("n") - 1) * p)
+    ranks = F.array_distinct(F.concat(F.transform(places, lambda x: F.floor(x)), F.transform(places, lambda x: F.ceil(x))))
+    ranked = groups.select("g", "low", "inner", "lo", "hi", F.explode(ranks).alias("rank"))
+    end = F.when(F.col("rank") < F.col("low"), F.lit(float("-inf"))).when(
+        F.col("rank") >= F.col("low") + F.col("inner"), F.lit(float("inf"))
+    )
+    done = ranked.withColumn("v", end).where(F.col("v").isNotNull()).select("g", "rank", "v")
+    inside = ranked.where(end.isNull()).groupBy("g").agg(
+        F.first("lo").alias("lo"), F.first("hi").alias("hi"), F.first("low").alias("below"), F.first("inner").alias("rows"),
+        F.collect_list("rank").alias("ranks"),
+    )
+    ranges = materialise(inside, "ranges")
+    rows = rows.where(F.abs("v") < F.lit(float("inf")))
+    while True:
+        one = F.col("lo") == F.col("hi")
+        done = done.unionByName(ranges.where(one).select("g", F.explode("ranks").alias("rank"), F.col("lo").alias("v")))
+        open_ = ranges.where(~one)
+        left, most = open_.agg(F.count("*"), F.max("rows")).first()
+        if not left:
             break
-        if all(r.rows <= max_rows for r in open_ranges):
-            done.update(_pick(table, open_ranges))
+        rows = materialise(_held(rows, open_, left).select("g", "v"), "open-rows")
+        if most <= max_rows:
+            done = done.unionByName(_picked(_held(rows, open_, left)))
             break
-        ranges = _narrow(table, open_ranges)
-    return done
-
-
-def _rows_in(table: DataFrame, ranges: list[_Range], cell) -> DataFrame:
-    """One output row per table row and range that holds its value."""
-    hits = []
-    for k, r in enumerate(ranges):
-        v = F.col(f"v{r.col}")
-        hits.append(
-            F.when(v.between(r.lo, r.hi), F.struct(F.lit(k).alias("k"), cell(v, r).alias("cell"), v.alias("v")))
-        )
-    return table.select(F.explode(F.array(*hits)).alias("h")).where(F.col("h").isNotNull()).select("h.*")
-
-
-def _narrow(table: DataFrame, ranges: list[_Range]) -> list[_Range]:
-    def cell(v: Column, r: _Range) -> Column:
-        if not math.isfinite(r.hi - r.lo):
-            raise ValueError("quantiles of infinite values are not defined")
-        share = (v - F.lit(r.lo)) / F.lit(r.hi - r.lo)
-        return F.least(F.floor(share * _CELLS), F.lit(_CELLS - 1))
-
-    cells = (
-        _rows_in(table, ranges, cell)
-        .groupBy("k", "cell")
-        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .collect()
+        ranges = materialise(_narrowed(_held(rows, open_, left)), "ranges")
+    at = done.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+
+    def between(place: Column) -> Column:
+        lo, hi, part = F.col("at")[F.floor(place)], F.col("at")[F.ceil(place)], place - F.floor(place)
+        return F.when((part == 0) | (lo == hi), lo).otherwise((1 - part) * lo + part * hi)
+
+    return groups.join(at, "g").select("g", "n", F.transform(places, between).alias("q"))
+
+
+def _held(rows: DataFrame, ranges: DataFrame, count: int) -> DataFrame:
+    """Rows with the range that holds their value."""
+    ranges = F.broadcast(ranges) if count <= _BROADCAST_RANGES else ranges
+    return rows.join(ranges, "g").where(F.col("v").between(F.col("lo"), F.col("hi")))
+
+
+def _narrowed(held: DataFrame) -> DataFrame:
+    """The cells of every range that hold a wanted rank, as ranges."""
+    # halves, as the whole width of a range may exceed the largest number
+    share = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+    cell = F.least(F.floor(share * _CELLS), F.lit(_CELLS - 1))
+    cells = held.groupBy("g", "below", cell.alias("cell")).agg(
+        F.count("*").alias("rows"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.first("ranks").alias("ranks")
     )
-    narrowed = []
-    for k, r in enumerate(ranges):
-        below = r.below
-        wanted = list(r.ranks)
-        for c in sorted((c for c in cells if c["k"] == k), key=lambda c: c["cell"]):
-            here = tuple(x for x in wanted if below <= x < below + c["n"])
-            if here:
-                narrowed.append(_Range(r.col, c["lo"], c["hi"], below, c["n"], here))
-            below += c["n"]
-    return narrowed
-
-
-def _pick(table: DataFrame, ranges: list[_Range]) -> dict[tuple[int, int], float]:
+    before = Window.partitionBy("g", "below").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.withColumn("from", F.col("below") + F.coalesce(F.sum("rows").over(before), F.lit(0)))
+    wanted = F.filter("ranks", lambda k: (k >= F.col("from")) & (k < F.col("from") + F.col("rows")))
+    kept = placed.withColumn("ranks", wanted).where(F.size("ranks") > 0)
+    return kept.select("g", "lo", "hi", F.col("from").alias("below"), "rows", "ranks")
+
+
+def _picked(held: DataFrame) -> DataFrame:
     """Ranks inside ranges of few rows: a running count over the values there."""
-    counted = _rows_in(table, ranges, lambda v, r: F.lit(0)).groupBy("k", "v").agg(F.count("*").alias("w"))
-    upto = F.sum("w").over(Window.partitionBy("k").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    offsets = F.element_at(
-        F.create_map(
-            *[
-                x
-                for k, r in enumerate(ranges)
-                for x in (F.lit(k), F.array(*[F.lit(rank - r.below).cast("long") for rank in r.ranks]))
-            ]
-        ),
-        F.col("k"),
-    )
-    rows = (
-        counted.withColumn("upto", upto)
-        .withColumn("off", F.explode(F.filter(offsets, lambda o: (o < F.col("upto")) & (o >= F.col("upto") - F.col("w")))))
-        .select("k", "off", "v")
-        .collect()
-    )
-    return {(ranges[r["k"]].col, ranges[r["k"]].below + r["off"]): r["v"] for r in rows}
+    counted = held.groupBy("g", "below", "v").agg(F.count("*").alias("w"), F.first("ranks").alias("ranks"))
+    upto = F.sum("w").over(Window.partitionBy("g", "below").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumn("upto", F.col("below") + upto)
+    hit = F.filter("ranks", lambda k: (k < F.col("upto")) & (k >= F.col("upto") - F.col("w")))
+    return placed.select("g", F.explode(hit).alias("rank"), "v")
 
 
 def quantile(df: DataFrame, col: str, p: float, max_rows: int = MAX_ROWS) -> float | None:
@@ -178,21 +144,12 @@ def grouped_quantiles(
     df: DataFrame, key: str, col: str, probs: Sequence[float], max_rows: int = MAX_ROWS
 ) -> DataFrame:
     """Quantiles per group as ``(key, n, q array<double>)``. Groups of more than
-    ``max_rows`` values (there are at most rows / max_rows of them) are narrowed
-    range by range, the others take one aggregate."""
-    value = F.col(col).cast("double")
-    kept = df.select(key, value.alias("__v")).where(F.col("__v").isNotNull() & F.col(key).isNotNull())
-    sizes = kept.groupBy(key).agg(F.count("*").alias("n"))
-    large = {r[key]: r["n"] for r in sizes.where(F.col("n") > max_rows).collect()}
-    rest = kept.where(~F.col(key).isin(*large)) if large else kept
-    small = rest.groupBy(key).agg(F.count("*").alias("n"), F.percentile("__v", _probs(probs)).alias("q"))
-    if not large:
-        return small
-    names = list(large)
-    rows = []
-    for i in range(0, len(names), 24):
-        part = names[i : i + 24]
-        masked = [F.when(F.col(key) == F.lit(k), F.col("__v")) for k in part]
-        for k, q in zip(part, _edges(kept.where(F.col(key).isin(*part)), masked, probs, max_rows)):
-            rows.append((k, large[k], q))
-    return small.unionByName(df.sparkSession.createDataFrame(rows, small.schema))
+    ``max_rows`` values are narrowed together, the others take one aggregate."""
+    kept = df.select(F.col(key).alias("g"), _value(col).alias("v")).where(F.col("v").isNotNull() & F.col("g").isNotNull())
+    sizes = materialise(kept.groupBy("g").agg(F.count("*").alias("n")), "sizes")
+    large = sizes.where(F.col("n") > max_rows)
+    rest = kept.join(large, "g", "left_anti")
+    out = rest.groupBy("g").agg(F.count("*").alias("n"), F.percentile("v", _probs(probs)).alias("q"))
+    if not large.isEmpty():
+        out = out.unionByName(_by_narrowing(kept.join(large.select("g"), "g", "left_semi"), probs, max_rows))
+    return out.withColumnRenamed("g", key)

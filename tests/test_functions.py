@@ -148,3 +148,19 @@ def test_signed_rank_counts_equal_enumeration(spark, n):
     df = spark.createDataFrame([(n, float(w)) for w in ws], "n int, w double")
     got = [r["p"] for r in df.orderBy("w").select(signed_rank_exact(F.col("w"), F.col("n")).alias("p")).collect()]
     assert got == pytest.approx([min(1.0, 2 * np.mean(sums <= w)) for w in ws])
+
+
+@pytest.mark.parametrize("odd", [[], [float("inf")], [float("-inf"), float("inf")], [float("nan")] * 3, [float("-inf")] * 40, [1e308, -1e308]])
+def test_quantiles_do_not_depend_on_size(spark, odd):
+    values = [float(i % 37) for i in range(300)] + odd
+    df = spark.createDataFrame([(v,) for v in values], "x double").repartition(5)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.9, 0.999, 1.0]
+    a, b = (quantile_edges(df, ["x"], probs, max_rows=m)["x"] for m in (10, 10**6))
+    assert [repr(v) for v in a] == [repr(v) for v in b]
+
+
+def test_grouped_quantiles_of_many_large_groups(spark):
+    rows = [(f"g{i % 60}", float((i * 7919) % 1009)) for i in range(6000)] + [(None, 1.0), ("g0", None), ("small", 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {m: {r["g"]: (r["n"], r["q"]) for r in grouped_quantiles(df, "g", "x", [0.25, 0.5], max_rows=m).collect()} for m in (10, 10**6)}
+    assert got[10] == got[10**6] and len(got[10]) == 61
