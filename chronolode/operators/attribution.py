@@ -99,7 +99,21 @@ def _leaves(nodes: Sequence, scales: Sequence[float]) -> tuple[float, list[_Leaf
     return base, leaves
 
 
-def _contributions(leaves: Sequence[_Leaf], x: np.ndarray) -> np.ndarray:
+#: Numbers held at once while a batch is explained.
+_HELD = 1 << 21
+
+
+def _by_length(leaves: Sequence[_Leaf]) -> list[tuple[np.ndarray, ...]]:
+    """Leaves of one path length as arrays: value, feature, lo, hi, share."""
+    out = []
+    for length in sorted({len(leaf.feature) for leaf in leaves}):
+        own = [leaf for leaf in leaves if len(leaf.feature) == length]
+        parts = [np.stack([getattr(leaf, name) for leaf in own]) for name in ("feature", "lo", "hi", "share")]
+        out.append((np.array([leaf.value for leaf in own]), *parts))
+    return out
+
+
+def _contributions(groups: Sequence[tuple[np.ndarray, ...]], x: np.ndarray) -> np.ndarray:
     """Shapley values of every leaf's game, added up per feature.
 
     A leaf pays its value times one factor per feature on its path: whether the
@@ -107,33 +121,42 @@ def _contributions(leaves: Sequence[_Leaf], x: np.ndarray) -> np.ndarray:
     weights of coalition sizes are the moments of a uniform ``t`` that lets each
     other feature be known with probability ``t``, so a feature is worth its own
     change of factor times the mean over ``t`` of the product of the others.
-    That product is a polynomial; Gauss points of half its degree are exact."""
+    That product is a polynomial; Gauss points of half its degree are exact.
+    Leaves with paths of one length share these points and go in blocks."""
     phi = np.zeros_like(x)
-    for leaf in leaves:
-        passed = ((x[:, leaf.feature] > leaf.lo) & (x[:, leaf.feature] <= leaf.hi)).astype(float)
-        points, weights = leggauss((len(leaf.feature) + 1) // 2)
+    for value, feature, lo, hi, share in groups:
+        length = feature.shape[1]
+        points, weights = leggauss((length + 1) // 2)
         t = (points + 1) / 2
-        factors = leaf.share[:, None] * (1 - t) + passed[:, :, None] * t
-        others = factors.prod(axis=1, keepdims=True) / factors  # no factor is zero for 0 < t < 1
-        mean = others @ (weights / 2)
-        phi[:, leaf.feature] += leaf.value * (passed - leaf.share) * mean
+        block = max(1, _HELD // (len(x) * length * len(t)))
+        for at in range(0, len(value), block):
+            f, s = feature[at : at + block], share[at : at + block]
+            held = x[:, f]
+            passed = ((held > lo[at : at + block]) & (held <= hi[at : at + block])).astype(float)
+            factors = s[:, :, None] * (1 - t) + passed[..., None] * t
+            others = factors.prod(axis=2, keepdims=True) / factors  # no factor is zero for 0 < t < 1
+            own = value[at : at + block, None] * (passed - s) * (others @ (weights / 2))
+            order = np.argsort(f, axis=None, kind="stable")
+            names, first = np.unique(f.ravel()[order], return_index=True)
+            phi[:, names] += np.add.reduceat(own.reshape(len(x), -1)[:, order], first, axis=1)
     return phi
 
 
 def tree_attributions(model: Model, df: DataFrame, features: Sequence[str], row_id: str) -> DataFrame:
     """Additive contributions of each feature to each row's prediction, following
     the training shares along the tree paths: ``(row_id, feature, value, phi,
-    base)``, with ``base + sum(phi)`` the prediction. The model, whose size the
-    training parameters bound, goes to the tasks; rows stay where they are."""
+    base)``, with ``base + sum(phi)`` the prediction. The leaves, whose number the
+    training parameters bound, are broadcast; rows stay where they are."""
     fitted = predictor(model) if hasattr(model, "stages") else model
     base, leaves = _leaves(tree_nodes(df.sparkSession, model).collect(), _tree_scales(fitted))
+    shared = df.sparkSession.sparkContext.broadcast(_by_length(leaves))
     names = list(features)
     id_type = df.select(row_id).schema[0].dataType.simpleString()
 
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             x = batch[names].to_numpy(dtype=float)
-            phi = _contributions(leaves, x)
+            phi = _contributions(shared.value, x)
             yield pd.DataFrame(
                 {
                     row_id: np.repeat(batch[row_id].to_numpy(), len(names)),

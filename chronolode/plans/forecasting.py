@@ -85,6 +85,7 @@ from chronolode.plans.inputs import (
     user_events,
 )
 from chronolode.plans.registry import query, rounded, steady, steady_sql
+from chronolode.sources.scratch import materialise
 from chronolode.sources.tables import load
 
 _SCORES = ("mae", "rmse", "r2")
@@ -324,6 +325,24 @@ def stump_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(phi, "phi", "base")
 
 
+@query(
+    f"with {ORDER_FACTS} select least(2000, count(*)) as n_rows, least(2000, count(*)) as n_equal from facts "
+    "where pos >= cast(floor(n * 0.8) as bigint)"
+)
+def forest_attributions_add_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled holdout rows, and those whose contributions and base make the
+    prediction of a drawn forest."""
+    table = order_table(spark, sf_dir)
+    cut = holdout_start(table.rows)
+    model = fit(forest(trees=20, max_depth=8), table.first(cut))
+    sample = materialise(sample_rows(table.between(cut, table.rows), 2000, [table.pos]), "sample")
+    phi = tree_attributions(model, sample, table.features, table.pos)
+    sums = phi.groupBy(table.pos).agg((F.first("base") + F.sum("phi")).alias("added"))
+    both = score(model, sample).join(sums, table.pos)
+    equal = F.abs(F.col("added") - F.col("prediction")) <= 1e-6 * F.greatest(F.lit(1.0), F.abs("prediction"))
+    return both.agg(F.count("*").alias("n_rows"), F.count_if(equal).alias("n_equal"))
+
+
 @query()
 def boosted_attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean absolute attribution per feature of a boosted model on a sample of
@@ -406,9 +425,9 @@ def scores_from_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fold_lists_to_rows(lists.select("algorithm", *[F.col(f"s.{m}").alias(m) for m in _SCORES]))
 
 
-@query(f"with {FOLD_SCORES} select * from fold_scores where fold = 1 order by r2 desc, algorithm limit 1")
+@query(f"with {FOLD_SCORES} select * from fold_scores order by r2 desc, algorithm limit 1")
 def best_by_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_model(fold_scores(spark, sf_dir).where(F.col("fold") == 1))
+    return best_model(fold_scores(spark, sf_dir))
 
 
 _TWO_TABLES = (
