@@ -35,8 +35,10 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared scratch folder and read from there."""
-    with small_batches(df.sparkSession):
-        return scratch.materialise(df, name)
+    spark, path = df.sparkSession, scratch.scratch_path(df.sparkSession, name)
+    with small_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def words(text: Column) -> Column:

@@ -39,8 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolode.llm import scan
-from chronolode.llm.common import packed, table, unpacked, written
-from chronolode.sources.scratch import materialise
+from chronolode.llm.common import materialise, packed, table, unpacked
 
 WINDOW, GRAM = 35, 8
 #: Bits of the anchor table (32 MB), and of the blocks it is put together from.
@@ -148,38 +147,49 @@ def _windows(window: int):
     return run
 
 
-def _pieces(hot: dict[int, int], shards: int, window: int, gram: int, reference: bool):
-    """Runs of windows with one anchor, as texts, each with its shard: all windows of
-    a region, or those at ``places``. A hot anchor has shards of its own; reference
-    pieces go to all of them, others to the one their region falls to."""
+def _anchor_runs(anchor: np.ndarray, start: np.ndarray, which: np.ndarray) -> list[tuple[int, int]]:
+    """First and last window of each run of neighbours with one anchor."""
+    at = np.flatnonzero(which)
+    if not len(at):
+        return []
+    new = (anchor[at[1:]] != anchor[at[:-1]]) | (start[at[1:]] != start[at[:-1]] + 1)
+    edge = np.flatnonzero(new)
+    return list(zip(at[np.concatenate([[0], edge + 1])].tolist(), at[np.concatenate([edge, [len(at) - 1]])].tolist(), strict=True))
+
+
+def _pieces(hot: dict[int, int], shards: int, window: int, gram: int):
+    """Runs of windows with one anchor, as texts, each with its shard: those to stream
+    and, at ``places``, those of the reference; one row where both are the same. A
+    hot anchor has shards of its own; reference pieces go to all of them, others to
+    the one their region falls to."""
+    kinds = {"shard": pa.int64(), "reference": pa.bool_(), "asked": pa.bool_(), "uid": pa.int64(), "at": pa.int32(), "text": pa.string()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, places = batch.column("uid").to_numpy(), batch.column("places") if reference else None
+            ids, places = batch.column("uid").to_numpy(), batch.column("places")
             for a, _, data, offsets in scan.parts(batch.column("text")):
                 words = scan.split(data, offsets)
                 anchor, start, _, _ = anchors(words, window, gram)
-                if reference:
-                    wanted = np.zeros(len(words.start), bool)
-                    for i in range(len(offsets) - 1):
+                wanted = np.zeros(len(words.start), bool)
+                for i in range(len(offsets) - 1):
+                    if places[a + i].is_valid:
                         wanted[words.first[i] + np.array(places[a + i].as_py(), np.int64)] = True
-                    anchor, start = anchor[wanted[start]], start[wanted[start]]
-                new = np.ones(len(start), bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (start[1:] != start[:-1] + 1)
-                first = np.flatnonzero(new)
-                last = np.append(first[1:], len(start))[: len(first)] - 1
-                raw = data.tobytes()
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for f, b, e in zip(anchor[first].tolist(), start[first].tolist(), start[last].tolist(), strict=True):
-                    text, doc = raw[words.start[b] : words.end[e + window - 1]].decode(), int(words.text[b])
-                    uid = int(ids[a + doc])
-                    salts = hot.get(f, 1)
-                    for salt in range(salts) if reference else (uid * 0x9E3779B1 % (1 << 32) % salts,):
-                        shard = f % shards if salts == 1 else -1 - (f + salt) % (1 << 62)
-                        for column, value in zip(out, (shard, reference, uid, b - int(words.first[doc]), text), strict=True):
-                            column.append(value)
-                kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["shard", "reference", "uid", "at", "text"])
+                wanted = wanted[start]
+                asked = _anchor_runs(anchor, start, np.ones(len(start), bool))
+                held = set(_anchor_runs(anchor, start, wanted))
+                rows = [(first, last, (first, last) in held, True) for first, last in asked]
+                rows += [(first, last, True, False) for first, last in sorted(held.difference(asked))]
+                raw, out = data.tobytes(), []
+                for first, last, reference, ask in rows:
+                    b, name = int(start[first]), int(anchor[first])
+                    text, doc = raw[words.start[b] : words.end[start[last] + window - 1]].decode(), int(words.text[b])
+                    uid, salts = int(ids[a + doc]), hot.get(name, 1)
+                    own = uid * 0x9E3779B1 % (1 << 32) % salts
+                    for salt in range(salts) if reference else (own,):
+                        shard = name % shards if salts == 1 else -1 - (name + salt) % (1 << 62)
+                        out.append((shard, reference, ask and salt == own, uid, b - int(words.first[doc]), text))
+                columns = zip(*out, strict=True) if out else [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
 
     return run
 
@@ -254,12 +264,12 @@ class Automaton:
 def _matched(window: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         automaton, known = Automaton(), {}
-        texts, kind = rows["text"].to_pylist(), rows["reference"].to_pylist()
-        for text in {t for t, r in zip(texts, kind, strict=True) if r}:
+        texts = rows["text"].to_pylist()
+        for text in {t for t, r in zip(texts, rows["reference"].to_pylist(), strict=True) if r}:
             automaton.add(text.split(" "))
         uids, begins, ends = [], [], []
-        for text, r, uid, at in zip(texts, kind, rows["uid"].to_pylist(), rows["at"].to_pylist(), strict=True):
-            if r:
+        for text, ask, uid, at in zip(texts, rows["asked"].to_pylist(), rows["uid"].to_pylist(), rows["at"].to_pylist(), strict=True):
+            if not ask:
                 continue
             if text not in known:
                 known[text] = automaton.covered(text.split(" "), window)
@@ -332,10 +342,9 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     reps = materialise(reps.filter("n > 1").select("uid", "at"), "windows")
     shards = max(1, 3 * reps.count() // SHARD_WORDS)
     places = reps.groupBy("uid").agg(F.collect_list("at").alias("places"))
-    form = "shard long, reference boolean, uid long, at int, text string"
-    source = texts.join(places, "uid").select("uid", "text", "places").mapInArrow(_pieces(hot, shards, window, gram, True), form)
-    asked = texts.select("uid", "text").mapInArrow(_pieces(hot, shards, window, gram, False), form)
-    spans = source.unionByName(asked).groupBy("shard").applyInArrow(_matched(window), "uid long, b int, e int")
+    form = "shard long, reference boolean, asked boolean, uid long, at int, text string"
+    pieces = texts.join(places, "uid", "left").select("uid", "text", "places").mapInArrow(_pieces(hot, shards, window, gram), form)
+    spans = pieces.groupBy("shard").applyInArrow(_matched(window), "uid long, b int, e int")
     spans = spans.groupBy("uid").agg(F.collect_set(F.struct("b", "e")).alias("spans"))
     by_mark = texts.select("uid", "mark").join(spans, "uid").select("mark", "spans")
     placed = regions.select("key", "start", "mark").join(by_mark, "mark")
@@ -346,7 +355,7 @@ def repeated_spans(keyed: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
 def _joined(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     text = F.coalesce(docs[text_col], F.lit(""))
     keyed = packed(docs, id=docs[id_col], t=text, key=_key(docs[id_col], text))
-    spans, _ = written(repeated_spans(keyed, window), "spans")
+    spans = materialise(repeated_spans(keyed, window), "spans")
     return keyed.join(spans, "key", "left")
 
 
