@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronolode.functions.calendar import add_calendar, cyclical
 from chronolode.functions.encoding import MAX_LEVELS, category_levels, one_hot
-from chronolode.operators.ordering import TimeOrder, block_window, drop_copies, over_series, spread_blocks
+from chronolode.operators.ordering import TimeOrder, block_window, drop_copies, over_series, spread_blocks, with_reach
 from chronolode.operators.series import (
     complete_rows,
     fill_blocks,
@@ -81,6 +81,7 @@ def _feature_columns(
         wide = over_series(interpolate_linear(kept, spec.label, order, method=spec.fill), order, exprs)
     else:
         # fill and windows on the same blocks: the rows are shuffled once
+        order = with_reach(order, back, ahead)
         spread = spread_blocks(kept, order, back, ahead)
         filled = fill_blocks(spread, kept, spec.label, order, spec.label, spec.fill, back, ahead)
         w = block_window(order)

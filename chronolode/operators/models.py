@@ -110,8 +110,9 @@ class TrainingTable:
 
 def lay_out(placed: DataFrame, rows: int, features: Sequence[str], label: str = "label") -> TrainingTable:
     """Fix a positioned feature table for fitting. The number of partitions
-    follows from the row count alone."""
-    per_part = max(25_000, -(-rows // 10_000))
+    follows from the row count alone: they hold 25,000 rows, in very long tables up
+    to a million."""
+    per_part = max(25_000, min(1_000_000, -(-rows // 10_000)))
     kept = placed.select("pos", *features, label)
     return TrainingTable(fixed_partitions(kept, max(1, -(-rows // per_part)), "pos"), rows, tuple(features), label)
 

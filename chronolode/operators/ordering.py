@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from chronolode.sources.scratch import materialise
 
 MAX_SERIES_ROWS = 1_000_000
-MAX_PARTS = 10_000
+#: Rows of a table that is sent to every executor; larger ones join by a shuffle.
 MAX_BROADCAST_ROWS = 500_000
 
 
@@ -91,12 +91,16 @@ def with_position(
     # One run per series and partition it touches: no more than series plus
     # partitions. Joined by both, a long series stays spread over partitions.
     starts = runs.select("__part", *order.keys, (F.col("__first") - F.coalesce(earlier, F.lit(0))).alias("__start"))
-    if series + MAX_PARTS <= MAX_BROADCAST_ROWS:
+    if series + _parts(rows, max_series_rows) <= MAX_BROADCAST_ROWS:
         starts = F.broadcast(starts)
     placed = laid.join(starts, ["__part", *order.keys])
     return placed.select(*df.columns, (F.col("__row") - F.col("__start")).cast("long").alias(out))
 
 
+def _parts(rows: int, part_rows: int) -> int:
+    return max(2, -(-rows // part_rows))
+
+
 def _time_layout(df: DataFrame, order: TimeOrder, rows: int, part_rows: int) -> DataFrame:
     """The table sorted by (keys, order) over range partitions, with ``__part``
     and the row's place ``__row`` in it.
@@ -104,7 +108,7 @@ def _time_layout(df: DataFrame, order: TimeOrder, rows: int, part_rows: int) ->
     It is written once: afterwards partition numbers are data, which a lost
     executor cannot change. Sorting spills, so large partitions are slow at worst.
     """
-    parts = min(MAX_PARTS, max(2, -(-rows // part_rows)))
+    parts = _parts(rows, part_rows)
     cols = [F.col(c) for c in order.all_cols]
     return materialise(
         _reject_nulls(df, order)
@@ -125,15 +129,18 @@ def prepare_series(
     For long series the table gains ``__pos``, a number over all rows in (keys,
     order) order; within a series it counts up by one, which is all that lags and
     gaps need. It is the row's place plus the sizes of earlier partitions, a
-    table of at most ``MAX_PARTS`` rows."""
+    table of one row per partition, which is written as it is read again with
+    every scan of the layout."""
     rows, _, longest = series_sizes(df, order)
     if longest <= max_series_rows:
         return _reject_nulls(df, order), replace(order, pos=None, block_rows=None)
     laid = _time_layout(df, order, rows, max_series_rows)
     sizes = laid.groupBy("__part").agg(F.count("*").alias("__n"))
     earlier = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select("__part", F.coalesce(earlier, F.lit(0)).alias("__earlier"))
-    placed = laid.join(F.broadcast(offsets), "__part").select(
+    offsets = materialise(sizes.select("__part", F.coalesce(earlier, F.lit(0)).alias("__earlier")), "offsets")
+    if _parts(rows, max_series_rows) <= MAX_BROADCAST_ROWS:
+        offsets = F.broadcast(offsets)
+    placed = laid.join(offsets, "__part").select(
         *df.columns, (F.col("__row") + F.col("__earlier")).cast("long").alias("__pos")
     )
     return placed, replace(order, pos="__pos", block_rows=max_series_rows)
@@ -146,6 +153,14 @@ def block_of(order: TimeOrder, shift: int = 0) -> Column:
     return F.expr(f"(`{order.pos}` + {shift}) div {order.block_rows}")
 
 
+def with_reach(order: TimeOrder, back: int, ahead: int) -> TimeOrder:
+    """The order with blocks of at least ten times the rows that windows reach, so
+    that copied rows stay few."""
+    if order.block_rows is None:
+        return order
+    return replace(order, block_rows=max(order.block_rows, 10 * max(back, ahead)))
+
+
 def spread_blocks(df: DataFrame, order: TimeOrder, back: int = 0, ahead: int = 0) -> DataFrame:
     """Add ``__block``, and copy the last ``back`` rows of a block to the next one
     and the first ``ahead`` rows to the one before. ``__home`` is the block that a
@@ -190,6 +205,7 @@ def over_series(
 
     if order.block_rows is None:
         return added(df, order.window())
+    order = with_reach(order, back, ahead)
     return drop_copies(added(spread_blocks(df, order, back, ahead), block_window(order)))
 
 

@@ -15,6 +15,7 @@ from chronolode.operators.ordering import (
     over_series,
     spread_blocks,
 )
+from chronolode.sources.scratch import materialise
 
 
 def lag_of(col: str, k: int):
@@ -101,24 +102,36 @@ def interpolate_linear(
     return placed.withColumn(out, fill).select(*names)
 
 
-def _carried(df: DataFrame, col: str, order: TimeOrder, forward: bool, reach: int) -> DataFrame:
-    """For each block: the nearest value beyond its first row (``forward``) or its
-    last one, copied rows included. A table with one row per block, out of an
-    aggregate that is combined before the shuffle."""
+def _carried(df: DataFrame, col: str, order: TimeOrder, back: int, ahead: int) -> DataFrame:
+    """For each block: the nearest value before its first row and beyond its last
+    one, copied rows included. A table with one row per block, out of one
+    aggregate over the rows that is combined before the shuffle."""
     keys = list(order.keys)
     at = F.when(F.col(col).isNotNull(), F.col(order.pos))
-    value = F.col(col).cast("double")
-    # Moved by ``reach``, a group ends where the copied rows of a block begin.
-    block = block_of(order, reach if forward else -reach)
-    # plain numbers as aggregate buffers, so that rows are hashed and not sorted
-    ends = df.groupBy(*keys, block.alias("__block")).agg(
-        (F.max(at) if forward else F.min(at)).alias("p"),
-        (F.max_by(value, at) if forward else F.min_by(value, at)).alias("v"),
+    # Moved by its reach, a group ends where the copied rows of a block begin.
+    blocks = F.array(
+        *[F.struct(F.lit(forward).alias("forward"), block_of(order, reach).alias("__block")) for forward, reach in ((True, back), (False, -ahead))]
     )
-    along = F.col("__block").asc() if forward else F.col("__block").desc()
-    others = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
-    end = F.when(F.col("p").isNotNull(), F.struct("p", "v"))
-    return ends.select(*keys, "__block", F.last(end, True).over(others).alias("__from_before" if forward else "__from_after"))
+    rows = df.select(*keys, at.alias("at"), F.col(col).cast("double").alias("value"), F.explode(blocks).alias("b"))
+    # plain numbers as aggregate buffers, so that rows are hashed and not sorted
+    ends = materialise(
+        rows.groupBy(*keys, "b.forward", "b.__block").agg(
+            F.max("at").alias("last"), F.max_by("value", "at").alias("last_value"),
+            F.min("at").alias("first"), F.min_by("value", "at").alias("first_value"),
+        ),
+        "block-ends",
+    )
+
+    def side(forward: bool) -> DataFrame:
+        p, v = ("last", "last_value") if forward else ("first", "first_value")
+        along = F.col("__block").asc() if forward else F.col("__block").desc()
+        others = Window.partitionBy(*keys).orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+        end = F.when(F.col(p).isNotNull(), F.struct(F.col(p).alias("p"), F.col(v).alias("v")))
+        name = "__from_before" if forward else "__from_after"
+        own = ends.where("forward" if forward else "NOT forward")
+        return own.select(*keys, "__block", F.last(end, True).over(others).alias(name))
+
+    return side(True).join(side(False), [*keys, "__block"], "full")
 
 
 def fill_blocks(
@@ -135,8 +148,7 @@ def fill_blocks(
     joined = (
         spread.withColumn("__after", F.last(point, True).over(down.rowsBetween(*upto)))
         .withColumn("__before", F.last(point, True).over(up.rowsBetween(*upto)))
-        .join(_carried(df, col, order, True, back), on, "left")
-        .join(_carried(df, col, order, False, ahead), on, "left")
+        .join(_carried(df, col, order, back, ahead), on, "left")
     )
     before = F.coalesce("__before", "__from_before")
     after = F.coalesce("__after", "__from_after")
