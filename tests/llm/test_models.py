@@ -135,8 +135,10 @@ def test_word_probabilities_sum_to_at_most_one():
 def test_document_score_by_hand():
     """One text, read a line at a time with the slopes' weights updated as told."""
     scorer = mixing_lm.Scorer(_model([b"ab", b"ba", b""]))
-    by_line, end = np.log(np.array([[0.1, 0.2, 0.3], [0.05, 0.01, 0.02], [0.1, 0.2, 0.3]])), np.log(np.array([0.5, 0.4, 0.3]))
-    weight, total, seen, before = np.ones(3) / 3, 0.0, [[0.2, 2.0], [0.2, 2.0]], 0
+    slopes = len(mixing_lm.SLOPES)
+    by_line = np.log(np.array([[0.1, 0.2, 0.3], [0.05, 0.01, 0.02], [0.1, 0.2, 0.3]])[:, :slopes])
+    end = np.log(np.array([0.5, 0.4, 0.3])[:slopes])
+    weight, total, seen, before = np.ones(slopes) / slopes, 0.0, [[0.2, 2.0], [0.2, 2.0]], 0
     for i, (p, c, mine) in enumerate(zip(np.exp(by_line), [0, 4, 0], [0, 0, 1], strict=True)):
         spelled = float(weight @ p)
         weight = weight * p / spelled
