@@ -153,5 +153,48 @@ def test_document_score_by_hand():
     assert math.isclose(scorer.document(by_line, end, [5, 6, 5], [0, 4, 0], 10), total)
 
 
+def test_corrections_and_the_word_before_by_hand():
+    """Two texts a bit at a time: the word before counts, each gate is corrected."""
+    r = np.random.default_rng(1)
+    model = _model([b"ab", b"ba", b"abba", b""])
+    assert mixing_lm.ORDERS == (1, 2, 3, 5, 0) and mixing_lm.NEWTON == 3
+    model.pairs = r.normal(size=mixing_lm.PAIR_SLOTS).astype(np.float32)
+    model.pairs[r.random(mixing_lm.PAIR_SLOTS) < 0.3] = 0
+    model.pair_weights = r.random((2 * mixing_lm.GATES, 2))
+    scorer, words = mixing_lm.Scorer(model), [b"ab", b"ba", b"abba", b"x", b""]
+    docs = [np.append(r.integers(0, 4, n), 4) for n in (90, 40)]
+    want, block = [], mixing_lm.BLOCK
+    for doc in docs:
+        slope, offset = np.ones(mixing_lm.GATES), np.zeros(mixing_lm.GATES)
+        sums = np.tile([0.0, mixing_lm.INERTIA, 0.0, mixing_lm.INERTIA / 4], (mixing_lm.GATES, 1))
+        for n, i in enumerate(doc):
+            slots, bits, place, _, key = scorer.coder.expand([words[i]])
+            last = mixing_lm._before([words[doc[n - 1]]])[0] if n else np.uint32(0)
+            total = np.zeros(len(mixing_lm.SLOPES))
+            for b in range(len(bits)):
+                x = np.array([model.tables[k][slots[k][b]] for k in range(len(mixing_lm.ORDERS))])
+                g = int((x != 0).sum()) * mixing_lm.PLACES + int(place[b])
+                pair = model.pairs[mixing_lm._slot(key[b : b + 1] ^ last, mixing_lm.PAIR_SLOTS)[0]]
+                first, second = model.pair_weights[2 * g + int(pair != 0)]
+                m = first * float(x @ model.weights[g]) + second * float(pair)
+                z = slope[g] * m + offset[g]
+                total -= [math.log1p(math.exp(e * (-z if bits[b] else z))) for e in mixing_lm.SLOPES]
+                p = 1 / (1 + math.exp(-z))
+                sums[g] += ((bits[b] - p) * m, p * (1 - p) * m * m, bits[b] - p, p * (1 - p))
+            want.append(total)
+            if (n + 1) % block == 0:
+                slope, offset = 1 + sums[:, 0] / sums[:, 1], sums[:, 2] / sums[:, 3]
+    assert np.allclose(scorer.word_scores(words, docs), want, rtol=1e-3)
+
+
+def test_the_word_before_decides(docs, spark):
+    """After one word comes x, after another y; texts that swap them score less."""
+    r = random.Random(2)
+    rows = [(i, " ".join(r.choice(["sun xo", "fog ye"]) for _ in range(60))) for i in range(200)]
+    df = docs([*rows, (1000, "sun xo fog ye sun xo"), (1001, "sun ye fog xo sun ye")])
+    score = {r.doc_id: r.score for r in mixing_lm.log_probabilities(df, F.col("doc_id") >= 1000).collect()}
+    assert score[1000] > score[1001] + 1
+
+
 def test_empty(empty):
     assert mixing_lm.log_probabilities(empty, F.lit(False)).count() == 0
