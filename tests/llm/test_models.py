@@ -196,5 +196,13 @@ def test_the_word_before_decides(docs, spark):
     assert score[1000] > score[1001] + 1
 
 
+def test_weights_come_from_all_words(spark):
+    """One word more than the 300,000 of the old sample must not halve the symbols."""
+    known = spark.range(300_001).selectExpr("cast(concat('w', id) as binary) AS word", "2L AS c")
+    pairs = spark.createDataFrame([], "spelled binary, each binary, before binary, times binary")
+    model = mixing_lm._learned(known, 300_001, pairs, 0)
+    assert model.counts[ord("w")] == 1 + 2 * 300_001 and model.counts[mixing_lm.STOP] == 1 + 2 * 300_001
+
+
 def test_empty(empty):
     assert mixing_lm.log_probabilities(empty, F.lit(False)).count() == 0
