@@ -204,5 +204,20 @@ def test_weights_come_from_all_words(spark):
     assert model.counts[ord("w")] == 1 + 2 * 300_001 and model.counts[mixing_lm.STOP] == 1 + 2 * 300_001
 
 
+def test_slot_counts_beyond_32_bits():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([b"ab"], pa.binary()), pa.array([1 << 33])], ["word", "c"])
+    coder = mixing_lm.Coder(np.ones(mixing_lm.SYMBOLS))
+    slots, bits, *_ = coder.expand([b"ab"])
+    parts = pa.Table.from_batches(list(mixing_lm._slot_counts(np.ones(mixing_lm.SYMBOLS))(iter([batch]))))
+    for slot, bit in zip(slots[-1].tolist(), bits.tolist(), strict=True):
+        s = slot // mixing_lm._SLICE * mixing_lm._SLICE
+        k = len(mixing_lm.ORDERS) - 1
+        out = mixing_lm._slices((pa.scalar(k), pa.scalar(s)), parts.filter((pa.compute.field("k") == k) & (pa.compute.field("s") == s)))
+        both = int(np.frombuffer(out["t"][0].as_py(), np.uint32)[slot - s])
+        assert (both >> 16, both & 0xFFFF) == ((0xFFFF, 0) if bit else (0, 0xFFFF))
+
+
 def test_empty(empty):
     assert mixing_lm.log_probabilities(empty, F.lit(False)).count() == 0
