@@ -219,5 +219,19 @@ def test_slot_counts_beyond_32_bits():
         assert (both >> 16, both & 0xFFFF) == ((0xFFFF, 0) if bit else (0, 0xFFFF))
 
 
+def test_bits_per_byte(corpus):
+    scored = mixing_lm.log_probabilities(corpus, held(corpus, 5, 1))
+    rows, size = scored.collect(), {r.doc_id: len((r.text or "").encode()) for r in corpus.collect()}
+    for r in rows:
+        if r.doc_id != 7:
+            assert r.n_bytes == size[r.doc_id]
+        assert (r.bits_per_byte is None) == (r.n_bytes == 0)
+        assert not r.n_bytes or math.isclose(r.bits_per_byte, -r.score / math.log10(2) / r.n_bytes, abs_tol=1e-5)
+    for t in mixing_lm.total_bits_per_byte(scored).collect():
+        own = [r for r in rows if r.held_out == t.held_out]
+        assert t.n_bytes == sum(r.n_bytes for r in own)
+        assert math.isclose(t.bits_per_byte, -sum(r.score for r in own) / math.log10(2) / t.n_bytes, rel_tol=1e-9)
+
+
 def test_empty(empty):
     assert mixing_lm.log_probabilities(empty, F.lit(False)).count() == 0
