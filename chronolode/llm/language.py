@@ -29,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +45,7 @@ STEPS, PRIOR_USES = 3, 0.1
 _LETTERS = re.compile(r"[^\W\d_]+")
 #: Documents whose words are scored together, and words whose lattice is built together.
 TOGETHER, WORDS = 1500, 1 << 16
-#: Each letter's probability is scaled by this, so that products stay in range.
-_SCALE = 1e2
-#: Longer words are scored one by one, with rescaling, and learned from in blocks.
+#: Longer words are learned from in blocks.
 _LONG = 60
 _FRACTION = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -152,18 +151,21 @@ def word_scores(pieces: Pieces, model: np.ndarray, words: list[str]) -> np.ndarr
     """Log-probability of each word in each language; ``model`` has a row per piece,
     one more for letters that are none, and a column per language."""
     out = np.zeros((len(words), model.shape[1]))
-    short = [i for i, w in enumerate(words) if len(w) <= _LONG]
-    for at in range(0, len(short), WORDS):
-        some = short[at : at + WORDS]
-        for which, length, edges in _lattices(pieces, [words[i] for i in some]):
-            alpha = np.zeros((length + 1, len(which), model.shape[1]))
-            alpha[0] = 1
-            for begin, end, rows, ids in edges:
-                alpha[end][rows] += alpha[begin][rows] * (model[ids] * _SCALE ** (end - begin))
-            out[np.array(some)[which]] = np.log(alpha[length]) - length * np.log(_SCALE)
-    for i, w in enumerate(words):
-        if len(w) > _LONG:
-            out[i] = _long_score(pieces, model, w)
+    for at in range(0, len(words), WORDS):
+        for which, length, edges in _lattices(pieces, words[at : at + WORDS]):
+            # sums of the last places by end, each place scaled so that it sums to 1
+            recent, log = {0: np.ones((len(which), model.shape[1]))}, np.zeros((len(which), model.shape[1]))
+            for end, own in groupby(edges, key=lambda e: e[1]):
+                new = np.zeros_like(log)
+                for begin, _, rows, ids in own:
+                    new[rows] += recent[begin][rows] * model[ids]
+                log += np.log(new)
+                for begin in [b for b in recent if b <= end - pieces.longest]:
+                    del recent[begin]
+                for sums in recent.values():
+                    sums /= new
+                recent[end] = np.ones_like(log)
+            out[at + which] = log
     return out
 
 
@@ -218,6 +220,18 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _scaled_sums(sums: np.ndarray, power: np.ndarray, at: int, steps: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+    """The sums of a place from those of others (place, words, probabilities), all
+    scaled by the power of the largest one so that no place runs out of range."""
+    most = np.full(sums.shape[1], np.iinfo(np.int32).min, np.int32)
+    for other, rows, _ in steps:
+        most[rows] = np.maximum(most[rows], power[other][rows])
+    for other, rows, p in steps:
+        sums[at][rows] += np.ldexp(sums[other][rows] * p, power[other][rows] - most[rows])
+    sums[at], own = np.frexp(sums[at])
+    power[at] = most + own
+
+
 def _expected(path: str, langs: list[str], model: np.ndarray | None):
     """Expected uses (lang, piece, uses) over all segmentations of each word, or
     with no model yet, over all places where a piece fits."""
@@ -239,16 +253,23 @@ def _expected(path: str, langs: list[str], model: np.ndarray | None):
                     for _, _, rows, ids in edges:
                         uses += np.bincount(of[rows] + ids, weight[rows], len(uses))
                     continue
-                prob = [flat[of[rows] + ids] * _SCALE ** (e - b) for b, e, rows, ids in edges]
-                alpha, beta = np.zeros((length + 1, len(which))), np.zeros((length + 1, len(which)))
+                prob = [flat[of[rows] + ids] for _, _, rows, ids in edges]
+                # every place scaled by a power of two, and so told exactly: alpha and
+                # beta at a place stand for themselves times two to ``up`` and ``down``
+                shape = (length + 1, len(which))
+                alpha, beta, up, down = np.zeros(shape), np.zeros(shape), np.zeros(shape, np.int32), np.zeros(shape, np.int32)
                 alpha[0] = beta[length] = 1
-                for (b, e, rows, _), p in zip(edges, prob, strict=True):
-                    alpha[e][rows] += alpha[b][rows] * p
-                for (b, e, rows, _), p in sorted(zip(edges, prob, strict=True), key=lambda x: -x[0][0]):
-                    beta[b][rows] += beta[e][rows] * p
+                forth = list(zip(edges, prob, strict=True))
+                for end, own in groupby(forth, key=lambda x: x[0][1]):
+                    _scaled_sums(alpha, up, end, [(b, rows, p) for (b, _, rows, _), p in own])
+                for begin, own in groupby(sorted(forth, key=lambda x: -x[0][0]), key=lambda x: x[0][0]):
+                    _scaled_sums(beta, down, begin, [(e, rows, p) for (_, e, rows, _), p in own])
                 share = weight / alpha[length]
                 at = np.concatenate([of[rows] + ids for _, _, rows, ids in edges])
-                by = np.concatenate([share[rows] * alpha[b][rows] * p * beta[e][rows] for (b, e, rows, _), p in zip(edges, prob, strict=True)])
+                by = np.concatenate([
+                    share[rows] * np.ldexp(alpha[b][rows] * p * beta[e][rows], up[b][rows] + down[e][rows] - up[length][rows])
+                    for (b, e, rows, _), p in forth
+                ])
                 uses += np.bincount(at, by, len(uses))
         found = np.flatnonzero(uses)
         yield pa.RecordBatch.from_arrays(

@@ -66,6 +66,30 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(language._long_score(pieces, model, long), plain(long))
 
 
+def test_rare_runs_stay_in_range():
+    """45 letters unseen in a language of 1e9 uses, alone and in a longer text."""
+    pieces = language.load(language._path(None))
+    total = np.full((pieces.size + 1, 2), 0.1)
+    total[0] = 1e9
+    total[:, 1] = 1.0
+    model = total / total.sum(axis=0)
+    word = "".join(chr(0x10480 + i % 20) for i in range(45))
+    for n in (20, 40, 45, 59, 60, 61, 200):
+        run = ("▁" + word * 5)[: n + 1]
+        assert np.isfinite(language.word_scores(pieces, model, [run])).all()
+        assert np.allclose(language.word_scores(pieces, model, [run]), language._long_score(pieces, model, run))
+    run = language._predicted(language._path(None), ["a", "b"], np.log([0.5, 0.5]), model)
+    import pyarrow as pa
+
+    out = next(run(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([word])], ["doc_id", "t"])])))
+    assert 0 <= out["score"][0].as_py() <= 1
+    # learning: the word's letters are all used, and nothing is lost or not a number
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([word]), pa.array([7])], ["lang", "word", "n"])
+    uses = next(language._expected(language._path(None), ["a", "b"], model)(iter([batch])))
+    by_piece = dict(zip(uses["piece"].to_pylist(), uses["uses"].to_pylist(), strict=True))
+    assert by_piece[pieces.size] == 7 * 45 * language._FRACTION
+
+
 def test_expectation_steps_raise_the_likelihood(corpus, spark):
     labelled = corpus.filter("lang IS NOT NULL AND text IS NOT NULL").select(F.col("text").alias("t"), "lang")
     path, total = language._path(None), []
