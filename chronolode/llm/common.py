@@ -33,10 +33,11 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared scratch folder and read from there."""
+def materialise(df: DataFrame, name: str, at_once: int = 1024) -> DataFrame:
+    """``df`` written once to the shared scratch folder and read from there. Python
+    workers get ``at_once`` rows at a time."""
     spark, path = df.sparkSession, scratch.scratch_path(df.sparkSession, name)
-    with small_batches(spark):
+    with small_batches(spark, at_once):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
