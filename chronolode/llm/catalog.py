@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronolode.llm import bpe, centroids, chat_format, exact_dedup, language, mixing_lm, mixture, near_dedup, prefix_trie, quality, substring_dedup, token_counts
+from chronolode.llm import bpe, centroids, chat_format, exact_dedup, language, mixing_lm, mixture, near_dedup, ngram_join, prefix_trie, quality, substring_dedup, token_counts
 
 _MODULES = {
     "op1_mixing_lm": mixing_lm,
@@ -19,6 +19,7 @@ _MODULES = {
     "op8_exact_dedup": exact_dedup,
     "op9_substring_dedup": substring_dedup,
     "op10_chat_format": chat_format,
+    "op11_ngram_join": ngram_join,
     "op12_centroids": centroids,
     "op13_prefix_trie": prefix_trie,
 }
