@@ -11,12 +11,12 @@ def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
-def near(rows, percent=75):
+def near(rows, percent=75, length=5):
     """{id: (shingles, component)}"""
     sets = {}
     for i, text in rows:
         w = WORD.findall(lower(text))
-        sets[i] = {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+        sets[i] = {tuple(w[j : j + length]) for j in range(len(w) - length + 1)} if len(w) >= length else ({tuple(w)} if w else set())
     held = defaultdict(list)
     for i, s in sets.items():
         for x in s:
