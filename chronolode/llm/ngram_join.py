@@ -12,8 +12,7 @@ size bands with hashed bitmap signatures, then exact intersections of sorted arr
    round compares all members of a list that are still in different components, in
    tiles (``tiles``): two blocks of neighbouring size bands, where bit counts of
    bitmaps bound the overlap from above.
-4. What the bound lets through is decided on both full sets, as sorted arrays. Sets
-   of nodes in lists are made once and written.
+4. What the bound lets through is decided on both full sets, as sorted arrays.
 
 No link is lost: every pair of linked nodes either meets in the last round or is in
 one component before. Lists are joined by shuffles that Spark can split at a frequent
@@ -44,6 +43,7 @@ from chronolode.llm.tiles import Bitmaps, bitmap, possible, similar_pairs
 #: Words of an n-gram, and similarity from which documents link, in percent.
 LENGTH, PERCENT = 4, 85
 COUNTERS = 1 << 20
+_CHUNKS = 256
 STARS = 2
 #: Pairs with both their arrays handed to a Python worker at a time.
 PAIRS_AT_ONCE = 16
@@ -71,28 +71,39 @@ def leading(size: int, percent: int) -> int:
 
 
 def _counted(length: int):
-    """How many documents of a task have a value in a cell."""
+    """How many documents of a task have a value in a cell, by ``_CHUNKS`` of cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             for _, _, data, offsets in scan.parts(batch.column("t")):
                 values = np.concatenate([np.zeros(0, np.uint64), *ngram_sets(data, offsets, length)])
-                np.add.at(total, (values >> np.uint64(44)).astype(np.int64), 1)
-        cells = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "c"])
+                total += np.bincount((values >> np.uint64(44)).astype(np.int64), minlength=COUNTERS)
+        parts = [x.tobytes() for x in np.split(total.astype(np.uint32), _CHUNKS)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(_CHUNKS, dtype=np.int32)), pa.array(parts, pa.binary())], ["chunk", "counts"])
 
     return run
 
 
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of all tasks, added up, as ranks: eighths of a power of two."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
+            own = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64)
+            total[chunk] = total[chunk] + own if chunk in total else own
+    ranks = [np.minimum(255, np.rint(8 * np.log2(np.maximum(t, 1)))).astype(np.uint8).tobytes() for t in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(ranks, pa.binary())], ["chunk", "ranks"])
+
+
 def _order(texts: DataFrame, length: int) -> np.ndarray:
-    """A rank of each cell by how often its values occur, in steps of an eighth of a
-    power of two; one byte a cell."""
-    counts = texts.select("t").mapInArrow(_counted(length), "cell int, c long").groupBy("cell").agg(F.sum("c").alias("c"))
-    ranks = counts.select("cell", F.least(F.lit(255), F.round(8 * F.log2("c"))).cast("int").alias("rank")).toArrow()
-    out = np.zeros(COUNTERS, np.uint8)
-    out[ranks["cell"].to_numpy()] = ranks["rank"].to_numpy()
-    return out
+    """A rank of each cell by how often its values occur, one byte a cell."""
+    counts = texts.select("t").mapInArrow(_counted(length), "chunk int, counts binary")
+    ranks = counts.repartition("chunk").mapInArrow(_added, "chunk int, ranks binary").collect()
+    out = np.zeros((_CHUNKS, COUNTERS // _CHUNKS), np.uint8)
+    for chunk, own in ranks:
+        out[chunk] = np.frombuffer(own, np.uint8)
+    return out.ravel()
 
 
 def _signed(length: int, percent: int, order: np.ndarray):
@@ -175,14 +186,10 @@ class _Join:
     """The links of one corpus."""
 
     def __init__(self, texts: DataFrame, nodes: DataFrame, length: int, percent: int) -> None:
-        self.nodes, self.percent = nodes, percent
+        self.texts, self.nodes, self.length, self.percent = texts, nodes, length, percent
         lead = nodes.select("node", "n", F.explode("lead").alias("h"))
         several = lead.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
         self.lists = materialise(lead.join(several, "h"), "lists")
-        listed, _ = written(nodes.join(self.lists.select("node").distinct(), "node", "left_semi").select("node", "key"), "listed")
-        # rows that agree in id and text share a key
-        found = texts.join(listed, "key").select("node", "t").mapInArrow(_arrays(length), "node long, values array<long>")
-        self.sets = materialise(found.dropDuplicates(["node"]), "sets", 256)
 
     def star(self, lists: DataFrame, turn: int) -> DataFrame:
         """Each list's members with one of them, another one each turn."""
@@ -197,8 +204,12 @@ class _Join:
         return similar_pairs(lists.join(self.nodes.select("node", "bits"), "node"), self.percent)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
-        asked, _ = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "asked")
-        sets = materialise(self.sets.join(asked, "node"), "asked-sets", 256)
+        """The pairs that are links. The sets of their nodes are made from the texts."""
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        keys, _ = written(self.nodes.select("node", "key").join(asked, "node"), "asked")
+        found = self.texts.join(keys, "key").select("node", "t").mapInArrow(_arrays(self.length), "node long, values array<long>")
+        # rows that agree in id and text share a key
+        sets = materialise(found.dropDuplicates(["node"]), "sets", 256)
         return materialise(_pairs_with(pairs, sets, "values").mapInArrow(_exact(self.percent), "a long, b long"), "links", PAIRS_AT_ONCE)
 
     def roots(self) -> DataFrame:
