@@ -6,12 +6,14 @@ size bands with hashed bitmap signatures, then exact intersections of sorted arr
    each in any order common to all. The order is rarest first, by a table of
    ``COUNTERS`` counters over all documents (any order is correct, this one leaves
    passages that many documents share out of the lists). Only these leading values
-   make lists.
+   make lists. A member at place ``i`` of its values has room for ``n - i`` shared ones
+   with a set that it meets in no list before; pairs without enough are left to
+   an earlier list.
 3. In the first ``STARS`` rounds a list compares its members with one of them, so large
    groups of near copies become one component without all their pairs. The last
    round compares all members of a list that are still in different components, in
    tiles (``tiles``): two blocks of neighbouring size bands, where bit counts of
-   bitmaps bound the overlap from above.
+   bitmaps bound the overlap from above; pairs are then held against wider bitmaps.
 4. What the bound lets through is decided on both full sets, as sorted arrays.
 
 No link is lost: every pair of linked nodes either meets in the last round or is in
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from chronolode.llm import scan
 from chronolode.llm.common import materialise, table, written
 from chronolode.llm.components import components
-from chronolode.llm.tiles import Bitmaps, bitmap, possible, similar_pairs
+from chronolode.llm.tiles import Bitmaps, bitmap, folded, possible, similar_pairs
 
 #: Words of an n-gram, and similarity from which documents link, in percent.
 LENGTH, PERCENT = 4, 85
@@ -187,21 +189,24 @@ class _Join:
 
     def __init__(self, texts: DataFrame, nodes: DataFrame, length: int, percent: int) -> None:
         self.texts, self.nodes, self.length, self.percent = texts, nodes, length, percent
-        lead = nodes.select("node", "n", F.explode("lead").alias("h"))
+        lead = nodes.select("node", "n", F.posexplode("lead").alias("at", "h")).withColumn("room", F.col("n") - F.col("at")).drop("at")
         several = lead.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("h")
         self.lists = materialise(lead.join(several, "h"), "lists")
 
     def star(self, lists: DataFrame, turn: int) -> DataFrame:
         """Each list's members with one of them, another one each turn."""
-        one = lists.groupBy("h").agg(F.min_by(F.struct("node", "root", "n"), F.xxhash64("node", F.lit(turn))).alias("one"))
+        one = lists.groupBy("h").agg(F.min_by(F.struct("node", "root", "n", "room"), F.xxhash64("node", F.lit(turn))).alias("one"))
         close = 100 * F.least("n", "one.n") >= self.percent * F.greatest("n", "one.n")
+        close &= (100 + self.percent) * F.least("room", "one.room") >= self.percent * (F.col("n") + F.col("one.n"))
         met = lists.join(one, "h").filter(F.expr("node <> one.node AND root <> one.root") & close)
-        pairs = met.select(F.least("node", "one.node").alias("a"), F.greatest("node", "one.node").alias("b")).distinct()
-        return _pairs_with(pairs, self.nodes, "n", "bits").mapInArrow(_allowed(self.percent), "a long, b long")
+        return met.select(F.least("node", "one.node").alias("a"), F.greatest("node", "one.node").alias("b")).distinct()
 
     def every(self, lists: DataFrame) -> DataFrame:
         """All members of a list that are in different components, in tiles."""
-        return similar_pairs(lists.join(self.nodes.select("node", "bits"), "node"), self.percent)
+        return similar_pairs(lists.join(self.nodes.select("node", folded(F.col("bits")).alias("bits")), "node"), self.percent)
+
+    def allowed(self, pairs: DataFrame) -> DataFrame:
+        return _pairs_with(pairs, self.nodes, "n", "bits").mapInArrow(_allowed(self.percent), "a long, b long")
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are links. The sets of their nodes are made from the texts."""
@@ -224,7 +229,7 @@ class _Join:
             pairs = self.star(lists, turn) if turn < STARS else self.every(lists)
             if tried is not None:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = materialise(pairs, "candidates")
+            pairs = materialise(self.allowed(materialise(pairs, "pairs")), "candidates")
             tried = pairs if tried is None else tried.unionByName(pairs)
             new = self.linked(pairs)
             links = new if links is None else links.unionByName(new)

@@ -9,8 +9,11 @@ the list is, so a list that a third of all sets share is many tiles in many task
 Each set has a bitmap of about twice as many cells as values (at most ``MOST_CELLS``),
 whose cells say whether an odd number of values fell there. The cells in which two
 bitmaps differ are at most the values in which the sets do, so with their sizes they
-bound the overlap from above. Inside a tile all pairs are compared as arrays; only
-pairs that the bound lets through become rows.
+bound the overlap from above. Tiles carry it folded to ``SMALL_CELLS``, which keeps a
+member of a list small however large its set; the bound holds for folded bitmaps too.
+Inside a tile all pairs are compared as arrays: roots, sizes, what the list's value
+leaves room for, bit counts. Only pairs that all of these let through become rows, to
+be held against the whole bitmaps (``Bitmaps``) and then the sets.
 """
 
 from __future__ import annotations
@@ -23,18 +26,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Members of a block, and cells of a bitmap.
-BLOCK, LEAST_CELLS, MOST_CELLS = 512, 256, 1 << 14
+BLOCK, SMALL_CELLS, MOST_CELLS = 512, 512, 1 << 14
 #: Words of 64 cells compared at once.
 _AT_ONCE = 1 << 20
 
 
 def bitmap(values: np.ndarray) -> np.ndarray:
     """Parity of the values in each cell, 64 cells a number."""
-    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (2 * len(values) - 1).bit_length()))
+    cells = min(MOST_CELLS, max(SMALL_CELLS, 1 << (2 * len(values) - 1).bit_length()))
     odd = np.bincount((values & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def folded(bits: Column, words: int = SMALL_CELLS // 64) -> Column:
+    """A bitmap of any width as one of few words."""
+    part = F.transform(F.sequence(F.lit(0), (F.size(bits) / words).cast("int") - 1), lambda i: F.slice(bits, i * words + 1, words))
+    zero = F.array_repeat(F.lit(0).cast("long"), words)
+    return F.aggregate(part, zero, lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)))
+
+
 def band_edges(percent: int, largest: int) -> list[int]:
     """The smallest size of each band: sets of sizes a <= b with 100 a >= percent b
     lie in one band or in neighbouring ones."""
@@ -112,12 +122,13 @@ def _pairs(tile: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.
 
 def _compared(percent: int):
     def close(batch: pa.RecordBatch) -> pa.RecordBatch:
-        node, root, size = (batch.column(c).to_numpy() for c in ("node", "root", "n"))
+        node, root, size, room = (batch.column(c).to_numpy() for c in ("node", "root", "n", "room"))
         bits = Bitmaps(batch.column("bits"))
         found = [np.zeros((0, 2), np.int64)]
         for i, j in _pairs(batch.column("tile").to_numpy(), batch.column("side").to_numpy()):
             small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
             some = (root[i] != root[j]) & (100 * small >= percent * large)
+            some &= (100 + percent) * np.minimum(room[i], room[j]) >= percent * (small + large)
             i, j = i[some], j[some]
             good = possible(size[i], size[j], bits.differ(i, bits, j), percent)
             a, b = node[i[good]], node[j[good]]
@@ -147,8 +158,10 @@ def _compared(percent: int):
 
 
 def similar_pairs(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b), a < b, of members of one list with different roots that sizes and
-    bitmaps let be similar. members: (h, node, root, n, bits); percent: 50 to 99."""
+    """Pairs (a, b), a < b, of members of one list with different roots that may be
+    similar. members: (h, node, root, n, room, bits), where bits are folded, and room is
+    the most values that a member can share with one it meets in no list before (n
+    where nothing is known); percent: 50 to 99."""
     edges = F.array(*[F.lit(e) for e in band_edges(percent, 1 << 40)])
     banded = members.withColumn("band", F.size(F.filter(edges, lambda e: e <= F.col("n"))))
     counts = banded.groupBy("h", "band").agg(F.count(F.lit(1)).alias("c"))
@@ -176,7 +189,7 @@ def similar_pairs(members: DataFrame, percent: int, block: int = BLOCK) -> DataF
     down = F.transform(others(-1), lambda k: F.struct(tile(F.col("band") - 1, k, F.col("band"), F.col("own")).alias("tile"), F.lit(1).alias("side")))
     whole = F.array(F.struct(F.xxhash64("h").alias("tile"), F.lit(2).alias("side")))
     tiles = F.when(F.col("blocks").isNull(), whole).otherwise(F.concat(same, up, down))
-    dealt = at.withColumn("own", own).select("node", "root", "n", "bits", F.explode(tiles).alias("t"))
-    dealt = dealt.select("t.tile", "t.side", "node", "root", "n", "bits")
+    dealt = at.withColumn("own", own).select("node", "root", "n", "room", "bits", F.explode(tiles).alias("t"))
+    dealt = dealt.select("t.tile", "t.side", "node", "root", "n", "room", "bits")
     in_tiles = dealt.repartition("tile").sortWithinPartitions("tile")
     return in_tiles.mapInArrow(_compared(percent), "a long, b long").distinct()
