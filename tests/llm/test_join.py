@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from chronolode.llm import ngram_join, tiles
 from chronolode.llm.ngram_join import leading, ngram_links
@@ -55,9 +56,14 @@ def test_large_group_of_near_copies_makes_few_candidates(docs, spark):
     for i, t in rows:
         data = t.encode()
         s = next(iter(ngram_join.ngram_sets(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 4)))
-        members.append((1, i, i, len(s), tiles.bitmap(s).tolist()))
-    df = spark.createDataFrame(members, "h long, node long, root long, n long, bits array<long>")
+        members.append((1, i, i, len(s), len(s), tiles.bitmap(s).tolist()))
+    df = spark.createDataFrame(members, "h long, node long, root long, n long, room long, bits array<long>")
     assert tiles.similar_pairs(df, 85, 16).count() < 100
+    short = df.withColumn("bits", tiles.folded(F.col("bits")))
+    assert short.filter("size(bits) = 8").count() == 160
+    wide = {m[1]: np.array(m[5]) for m in members}
+    for x in short.collect():
+        assert (np.bitwise_xor.reduce(wide[x.node].reshape(-1, 8)) == x.bits).all()
     assert result(ngram_links(docs(rows))) == brute.near(rows, 85, 4)
 
 
