@@ -194,8 +194,10 @@ class _Join:
         self.lists = materialise(lead.join(several, "h"), "lists")
 
     def star(self, lists: DataFrame, turn: int) -> DataFrame:
-        """Each list's members with one of them, another one each turn."""
-        one = lists.groupBy("h").agg(F.min_by(F.struct("node", "root", "n", "room"), F.xxhash64("node", F.lit(turn))).alias("one"))
+        """Each list's members with one of them, at first the one with the fewest rarer
+        values, which an edited copy has more of, then one by a hash."""
+        rank = F.struct(F.xxhash64("node", F.lit(turn)) if turn else F.col("n") - F.col("room"), "node")
+        one = lists.groupBy("h").agg(F.min_by(F.struct("node", "root", "n", "room"), rank).alias("one"))
         close = 100 * F.least("n", "one.n") >= self.percent * F.greatest("n", "one.n")
         close &= (100 + self.percent) * F.least("room", "one.room") >= self.percent * (F.col("n") + F.col("one.n"))
         met = lists.join(one, "h").filter(F.expr("node <> one.node AND root <> one.root") & close)
