@@ -12,19 +12,21 @@ retained values, a union-sketch estimate, and exact Jaccard on full sets.
 3. Links are found in rounds. In the first ones each list pairs its members with
    one of them only, at first the one with the fewest rarer values; members of a
    large group of near copies so meet in one component without all their pairs.
-   The last round compares what is still apart in a list: every two members in
-   different components.
+   The last round compares what is still apart in a list, every two members in
+   different components, in tiles of bounded size (``tiles``).
 4. Each set also has a bitmap, whose cells say whether an odd number of values fell
    there. The cells in which two sets differ are at most the values in which they
-   do, so a pair with too many cannot be similar; the last round's join tests this
-   before it makes a row. What passes goes on if the estimate from the union of both
-   sketches allows the similarity, and is then decided on full sets.
+   do, so a pair with too many cannot be similar; tiles test this before they make
+   a row, and make it in the first list that the two share. What passes goes on if
+   the estimate from the union of both sketches allows the similarity, and is then
+   decided on full sets, a few pairs of arrays in a worker at a time.
 
 Lists and pairs are joined by shuffles that Spark can split at a frequent value.
 
 Defined results: a null or wordless text has no shingles and no links, a text of
 fewer words than a shingle is one shingle, rows that repeat a text share a node,
-a component without any id has null, an empty table gives an empty one, other
+a component without any id has null, an empty table gives an empty one, a very long
+text is handled whole (its array of shingles is the largest value in a task), other
 columns are ignored. Shingles are compared as 64-bit hashes.
 """
 
@@ -42,6 +44,7 @@ from pyspark.sql import functions as F
 from chronolode.llm import scan
 from chronolode.llm.common import materialise, packed, table, unpacked, written
 from chronolode.llm.components import components
+from chronolode.llm.tiles import Bitmaps, bitmap, folded, possible, similar_pairs
 
 SHINGLE = 5
 #: Similarity from which documents are linked, in percent.
@@ -49,8 +52,8 @@ PERCENT = 75
 K = 64
 MISS = 1e-10
 COUNTERS = 1 << 18
-#: Cells of a bitmap.
-CELLS = 1024
+#: Pairs with both their sets handed to a Python worker at a time.
+PAIRS_AT_ONCE = 16
 #: Rounds that pair lists with one member, before the one that pairs all.
 STAR_ROUNDS = 2
 
@@ -93,8 +96,7 @@ def _sketched(length: int, k: int):
                 sets = shingle_sets(data, offsets, length)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 kept = [s[:k] for s in sets]
-                cells = [np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=CELLS) & 1 for s in sets]
-                bits = np.packbits(np.array(cells, np.uint8), axis=1, bitorder="little").view(np.int64)
+                bits = [bitmap(s) if len(s) else np.zeros(0, np.int64) for s in sets]
                 mark = [s.sum().tobytes() + scan.mix(s + np.uint64(n)).sum().tobytes() for s, n in zip(sets, sizes, strict=True)]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -102,7 +104,7 @@ def _sketched(length: int, k: int):
                         pa.array(sizes),
                         pa.array(mark, pa.binary()),
                         scan.lists(np.concatenate(kept).view(np.int64), np.minimum(sizes, k)),
-                        scan.lists(bits.ravel(), np.full(len(sets), CELLS // 64)),
+                        scan.lists(np.concatenate(bits), np.array([len(x) for x in bits])),
                     ],
                     [*(n for n in batch.schema.names if n != "t"), "n", "mark", "sketch", "bits"],
                 )
@@ -132,18 +134,23 @@ def _ordered(counts: bytes, percent: int):
 
 
 def _likely(k: int, percent: int):
-    """Pairs whose union sketch shares as many values as the similarity asks for."""
+    """Pairs whose sizes and bitmaps allow the similarity and whose union sketch shares
+    as many values as it asks for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            rows = np.arange(batch.num_rows)
+            na, nb = (batch.column(f"n_{side}").to_numpy() for side in "ab")
+            ba, bb = (Bitmaps(batch.column(f"bits_{side}")) for side in "ab")
+            good = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+            good[good] = possible(na[good], nb[good], ba.differ(rows[good], bb, rows[good]), percent)
             sides = []
             for c in ("sketch_a", "sketch_b"):
                 column = batch.column(c)
                 ends = np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
                 sides.append((column.flatten().to_numpy().view(np.uint64), ends))
             (va, ea), (vb, eb) = sides
-            good = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
+            for i in np.flatnonzero(good):
                 both = np.sort(np.concatenate([va[ea[i] : ea[i + 1]], vb[eb[i] : eb[i + 1]]]))
                 new = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
                 size = min(k, len(new))
@@ -154,18 +161,27 @@ def _likely(k: int, percent: int):
     return run
 
 
-def _verified(length: int, percent: int):
-    """Pairs whose full sets are similar. A text that meets several others in a batch
-    is cut into shingles once."""
+def _whole_sets(length: int):
+    """The full set of each node's text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, data, offsets in scan.parts(batch.column("t")):
+                sets = shingle_sets(data, offsets, length)
+                values = scan.lists(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]))
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(a, b - a), values], ["node", "set"])
+
+    return run
+
+
+def _verified(percent: int):
+    """Pairs whose full sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.chunked_array([batch.column("text_a"), batch.column("text_b")]).dictionary_encode().combine_chunks()
-            sets = [s for _, _, data, offsets in scan.parts(texts.dictionary) for s in shingle_sets(data, offsets, length)]
-            which = texts.indices.to_numpy().reshape(2, -1)
             good = np.zeros(batch.num_rows, bool)
-            for i, (a, b) in enumerate(which.T.tolist()):
-                x, y = sets[a], sets[b]
+            for i in range(batch.num_rows):
+                x, y = (batch.column(f"set_{side}")[i].values.to_numpy().view(np.uint64) for side in "ab")
                 place = np.searchsorted(x, y)
                 place[place == len(x)] = 0
                 shared = int(np.count_nonzero(x[place] == y))
@@ -208,35 +224,27 @@ class _Search:
     def every(self, lists: DataFrame) -> DataFrame:
         """Every two members of a list that are in different components and may be
         similar."""
-        sized = lists.join(self.nodes.select("node", "n", "bits"), "node")
-        x, y = (sized.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "root", "n", "bits")]) for side in "ab")
-        apart = (F.col("node_a") < F.col("node_b")) & (F.col("root_a") != F.col("root_b"))
-        met = x.join(y, (x["h"] == y["h"]) & apart & self._possible())
-        return met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-
-    def _possible(self) -> Column:
-        """Sizes and bitmaps allow the similarity: sets share at most half of both sizes
-        less the cells in which they differ."""
-        differ = F.lit(0)
-        for i in range(CELLS // 64):
-            differ += F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i]))
-        sizes = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
-        return sizes & ((100 + self.percent) * differ <= (100 - self.percent) * (F.col("n_a") + F.col("n_b")))
+        small = self.nodes.select("node", "n", F.col("n").alias("room"), folded(F.col("bits")).alias("bits"))
+        own = self.lists.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rarer", "h"))).alias("own"))
+        before = F.transform(F.filter("own", lambda x: x["rarer"] < F.col("rarer")), lambda x: x["h"])
+        members = lists.join(small.join(own, "node"), "node").withColumn("before", before).drop("own", "rarer")
+        return similar_pairs(members, self.percent)
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs that are links."""
-        a, b = (
-            self.nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "bits", "sketch")]) for side in "ab"
-        )
-        joined = pairs.join(a, "a")
-        sized = joined.join(b, (joined["b"] == b["b"]) & self._possible()).select("a", b["b"], "sketch_a", "sketch_b")
-        likely = materialise(sized.mapInArrow(_likely(self.k, self.percent), "a long, b long"), "pairs")
+        likely = self._with_both(pairs, self.nodes, "n", "bits", "sketch").mapInArrow(_likely(self.k, self.percent), "a long, b long")
+        likely = materialise(likely, "pairs")
         asked = likely.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         keys, _ = written(self.nodes.select("node", "key").join(asked, "node"), "asked")
-        found = materialise(self.texts.join(keys, "key").select("node", "t"), "texts")
+        found = self.texts.join(keys, "key").select("node", "t").mapInArrow(_whole_sets(self.length), "node long, set array<long>")
+        # rows that agree in id and text share a key
+        sets = materialise(found.dropDuplicates(["node"]), "sets", 256)
+        return materialise(self._with_both(likely, sets, "set").mapInArrow(_verified(self.percent), "a long, b long"), "links", PAIRS_AT_ONCE)
+
+    def _with_both(self, pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
         for side in ("a", "b"):
-            likely = likely.join(found.select(F.col("node").alias(side), F.col("t").alias(f"text_{side}")), side)
-        return likely.mapInArrow(_verified(self.length, self.percent), "a long, b long").distinct()
+            pairs = pairs.join(nodes.select(F.col("node").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+        return pairs
 
     def roots(self) -> DataFrame:
         """(node, root) of all nodes with links."""
@@ -253,7 +261,7 @@ class _Search:
                 pairs = pairs.join(tried, ["a", "b"], "left_anti")
             pairs = materialise(pairs, "candidates")
             tried = pairs if tried is None else tried.unionByName(pairs)
-            new = materialise(self.linked(pairs), "links")
+            new = self.linked(pairs)
             links = new if links is None else links.unionByName(new)
             if turn and not new.head(1):
                 continue

@@ -120,6 +120,25 @@ def _pairs(tile: np.ndarray, side: np.ndarray) -> Iterator[tuple[np.ndarray, np.
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
+def _met_before(i: np.ndarray, j: np.ndarray, before: pa.ListArray) -> np.ndarray:
+    """Whether rows i and j of a pair share a value that comes before their list's."""
+    lengths = before.value_lengths().to_numpy().astype(np.int64)
+    values, number = np.unique(before.flatten().to_numpy(), return_inverse=True)
+    starts = np.cumsum(lengths) - lengths
+
+    def keys(rows: np.ndarray) -> np.ndarray:
+        n = lengths[rows]
+        pair = np.repeat(np.arange(len(rows)), n)
+        place = np.arange(len(pair)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[rows], n)
+        return pair * len(values) + number[place]
+
+    shared = keys(i)
+    shared = shared[np.isin(shared, keys(j))]
+    out = np.zeros(len(i), bool)
+    out[shared // max(1, len(values))] = True
+    return out
+
+
 def _compared(percent: int):
     def close(batch: pa.RecordBatch) -> pa.RecordBatch:
         node, root, size, room = (batch.column(c).to_numpy() for c in ("node", "root", "n", "room"))
@@ -131,7 +150,11 @@ def _compared(percent: int):
             some &= (100 + percent) * np.minimum(room[i], room[j]) >= percent * (small + large)
             i, j = i[some], j[some]
             good = possible(size[i], size[j], bits.differ(i, bits, j), percent)
-            a, b = node[i[good]], node[j[good]]
+            i, j = i[good], j[good]
+            if "before" in batch.schema.names and len(i):
+                first = ~_met_before(i, j, batch.column("before"))
+                i, j = i[first], j[first]
+            a, b = node[i], node[j]
             found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
         # a batch holds many lists of the same members
         pairs = np.unique(np.concatenate(found), axis=0)
@@ -161,7 +184,10 @@ def similar_pairs(members: DataFrame, percent: int, block: int = BLOCK) -> DataF
     """Pairs (a, b), a < b, of members of one list with different roots that may be
     similar. members: (h, node, root, n, room, bits), where bits are folded, and room is
     the most values that a member can share with one it meets in no list before (n
-    where nothing is known); percent: 50 to 99."""
+    where nothing is known); percent: 50 to 99. A further column ``before`` names the
+    lists of a member that come before h in an order common to all; then a pair is told
+    in the first of its lists only."""
+    more = [c for c in ("before",) if c in members.columns]
     edges = F.array(*[F.lit(e) for e in band_edges(percent, 1 << 40)])
     banded = members.withColumn("band", F.size(F.filter(edges, lambda e: e <= F.col("n"))))
     counts = banded.groupBy("h", "band").agg(F.count(F.lit(1)).alias("c"))
@@ -189,7 +215,7 @@ def similar_pairs(members: DataFrame, percent: int, block: int = BLOCK) -> DataF
     down = F.transform(others(-1), lambda k: F.struct(tile(F.col("band") - 1, k, F.col("band"), F.col("own")).alias("tile"), F.lit(1).alias("side")))
     whole = F.array(F.struct(F.xxhash64("h").alias("tile"), F.lit(2).alias("side")))
     tiles = F.when(F.col("blocks").isNull(), whole).otherwise(F.concat(same, up, down))
-    dealt = at.withColumn("own", own).select("node", "root", "n", "room", "bits", F.explode(tiles).alias("t"))
-    dealt = dealt.select("t.tile", "t.side", "node", "root", "n", "room", "bits")
+    dealt = at.withColumn("own", own).select("node", "root", "n", "room", "bits", *more, F.explode(tiles).alias("t"))
+    dealt = dealt.select("t.tile", "t.side", "node", "root", "n", "room", "bits", *more)
     in_tiles = dealt.repartition("tile").sortWithinPartitions("tile")
     return in_tiles.mapInArrow(_compared(percent), "a long, b long").distinct()
