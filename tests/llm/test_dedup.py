@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from chronolode.llm import exact_dedup, near_dedup, substring_dedup
+from chronolode.llm import exact_dedup, near_dedup, substring_dedup, tiles
 from chronolode.llm.components import components
 from tests.llm import brute
 
@@ -149,3 +149,37 @@ def test_empty_tables(empty):
     assert exact_dedup.exact_duplicates(empty).count() == exact_dedup.without_duplicates(empty).count() == 0
     assert near_dedup.near_duplicates(empty).count() == near_dedup.without_near_duplicates(empty).count() == 0
     assert substring_dedup.passage_removal(empty).count() == 0
+
+
+def test_near_texts_that_share_much_are_no_candidates(docs, monkeypatch):
+    """Texts of 4000 words that share three fifths of them meet in many lists; tiles
+    leave few pairs of them, each told once."""
+    r = random.Random(9)
+    base = text_of(r, 4000).split(" ")
+    rows = [(i, " ".join(base[:2400] + text_of(r, 1600).split(" "))) for i in range(120)]
+    told = []
+
+    def counted(members, percent):
+        pairs = tiles.similar_pairs(members, percent)
+        told.append((pairs.count(), members.count()))
+        return pairs
+
+    monkeypatch.setattr(near_dedup, "similar_pairs", counted)
+    got = near_dedup.near_duplicates(docs(rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(rows)
+    assert told[0][1] > 120 and told[0][0] < 500
+
+
+def test_near_last_round_alone_in_small_tiles(docs, family, monkeypatch):
+    monkeypatch.setattr(near_dedup, "STAR_ROUNDS", 0)
+    monkeypatch.setattr(near_dedup, "similar_pairs", lambda members, percent: tiles.similar_pairs(members, percent, 20))
+    got = near_dedup.near_duplicates(docs(family)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(family)
+
+
+def test_near_very_long_text(docs):
+    r = random.Random(10)
+    long = text_of(r, 200_000)
+    rows = [(1, long), (2, edited(r, long, 0.01)), (3, edited(r, long, 0.2))]
+    got = near_dedup.near_duplicates(docs(rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.near(rows)
