@@ -224,7 +224,8 @@ class _Search:
     def every(self, lists: DataFrame) -> DataFrame:
         """Every two members of a list that are in different components and may be
         similar."""
-        small = self.nodes.select("node", "n", F.col("n").alias("room"), folded(F.col("bits")).alias("bits"))
+        half = folded(F.col("bits"), to=F.size("bits") / 2)  # as many cells as values, or up to twice as many
+        small = self.nodes.select("node", "n", F.col("n").alias("room"), half.alias("bits"))
         own = self.lists.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("rarer", "h"))).alias("own"))
         before = F.transform(F.filter("own", lambda x: x["rarer"] < F.col("rarer")), lambda x: x["h"])
         members = lists.join(small.join(own, "node"), "node").withColumn("before", before).drop("own", "rarer")

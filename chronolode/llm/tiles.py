@@ -9,8 +9,8 @@ the list is, so a list that a third of all sets share is many tiles in many task
 Each set has a bitmap of about twice as many cells as values (at most ``MOST_CELLS``),
 whose cells say whether an odd number of values fell there. The cells in which two
 bitmaps differ are at most the values in which the sets do, so with their sizes they
-bound the overlap from above. Tiles carry it folded to ``SMALL_CELLS``, which keeps a
-member of a list small however large its set; the bound holds for folded bitmaps too.
+bound the overlap from above. Tiles may carry it folded, to keep a member of a list
+small however large its set; the bound holds for folded bitmaps too.
 Inside a tile all pairs are compared as arrays: roots, sizes, what the list's value
 leaves room for, bit counts. Only pairs that all of these let through become rows, to
 be held against the whole bitmaps (``Bitmaps``) and then the sets.
@@ -38,8 +38,9 @@ def bitmap(values: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def folded(bits: Column, words: int = SMALL_CELLS // 64) -> Column:
-    """A bitmap of any width as one of few words."""
+def folded(bits: Column, least: int = SMALL_CELLS // 64, to: Column | int = 0) -> Column:
+    """A bitmap of any width as one of few words: ``to``, or ``least`` if that is more."""
+    words = F.greatest(F.lit(to).cast("int"), F.lit(least))
     part = F.transform(F.sequence(F.lit(0), (F.size(bits) / words).cast("int") - 1), lambda i: F.slice(bits, i * words + 1, words))
     zero = F.array_repeat(F.lit(0).cast("long"), words)
     return F.aggregate(part, zero, lambda a, b: F.zip_with(a, b, lambda x, y: x.bitwiseXOR(y)))
