@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronolode.plans import forecasting, mining, tables, timelines, whole  # noqa: F401
+from chronolode.plans import forecasting, mining, tables, timelines, tree_fits, whole  # noqa: F401
 from chronolode.plans.registry import QUERIES, SQL, Query
 
 
