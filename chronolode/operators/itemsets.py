@@ -154,6 +154,36 @@ def _by_level(baskets: DataFrame, first: DataFrame, n: int, min_support: float,
     return found
 
 
+def _largest_above(frequent: DataFrame) -> DataFrame:
+    """(itemset, above): the most transactions of a set with one item more. A set of
+    any size has its support if the closest ones have none of theirs equal, so one level
+    up decides."""
+    subsets = F.transform(F.sequence(F.lit(1), F.size("itemset")), lambda drop: F.filter("itemset", lambda _, i: i != drop - 1))
+    below = frequent.where(F.size("itemset") > 1).select("n_tx", F.explode(subsets).alias("itemset"))
+    return below.groupBy("itemset").agg(F.max("n_tx").alias("above"))
+
+
+def closed_itemsets(frequent: DataFrame) -> DataFrame:
+    """The frequent sets of which no larger frequent set has the same support. Sets of the
+    longest length mined count as closed."""
+    joined = frequent.join(_largest_above(frequent), "itemset", "left")
+    return joined.where(F.col("above").isNull() | (F.col("above") < F.col("n_tx"))).drop("above")
+
+
+def maximal_itemsets(frequent: DataFrame) -> DataFrame:
+    """The frequent sets that no larger frequent set holds."""
+    return frequent.join(_largest_above(frequent), "itemset", "left_anti")
+
+
+def itemsets_of_closed(closed: DataFrame) -> DataFrame:
+    """All frequent sets again, with their supports: a set has the support of its smallest
+    closure, the largest among the closed sets that hold it."""
+    masks = F.sequence(F.lit(1), F.pow(F.lit(2), F.size("itemset")).cast("int") - 1)
+    parts = closed.select("itemset", "n_tx", "support", F.explode(masks).alias("mask"))
+    subset = F.filter("itemset", lambda _, i: F.getbit(F.col("mask"), i) == 1)
+    return parts.groupBy(subset.alias("itemset")).agg(F.max("n_tx").alias("n_tx"), F.max("support").alias("support"))
+
+
 def association_rules(frequent: DataFrame, min_confidence: float = 0.5) -> DataFrame:
     """Every split of every frequent set into antecedent and consequent with at
     least ``min_confidence``. Text columns join the sorted items by comma; the

@@ -222,37 +222,55 @@ tx as (
 total as (select count(*) as n from conditions)"""
 
 
+# The same orders as counted distinct rows of their six items; few at any scale.
+COUNTED = """pe as (select quantile_cont(o_totalprice, 1/3.0) as e1, quantile_cont(o_totalprice, 2/3.0) as e2 from orders),
+be as (select quantile_cont(c_acctbal, 1/3.0) as e1, quantile_cont(c_acctbal, 2/3.0) as e2 from customer),
+combos as materialized (
+  select *, row_number() over (order by price, bal, status, prio, seg, season) as o from (
+    select 'PRICE=' || case when o_totalprice <= pe.e1 then 'Low' when o_totalprice <= pe.e2 then 'Med' else 'High' end as price,
+      'BAL=' || case when c_acctbal <= be.e1 then 'Low' when c_acctbal <= be.e2 then 'Med' else 'High' end as bal,
+      'STATUS=' || o_orderstatus as status, 'PRIO=' || o_orderpriority as prio, 'SEG=' || c_mktsegment as seg,
+      'SEASON=' || case when month(o_orderdate) in (12, 1, 2) then 'Winter' when month(o_orderdate) in (3, 4, 5) then 'Spring'
+                        when month(o_orderdate) in (6, 7, 8) then 'Summer' else 'Autumn' end as season, count(*) as w
+    from orders join customer on o_custkey = c_custkey cross join pe cross join be group by all)),
+tx as materialized (
+  select o, w, price as item from combos union all select o, w, bal from combos union all select o, w, status from combos
+  union all select o, w, prio from combos union all select o, w, seg from combos union all select o, w, season from combos),
+total as materialized (select cast(sum(w) as bigint) as n from combos)"""
+
+
 def itemsets_sql(min_support: float, max_len: int) -> str:
     """``freq``: ``s (joined text), items (list), k, n_tx, support`` by self-joins."""
-    parts = [BASKETS]
+    parts = [COUNTED]
     for k in range(1, max_len + 1):
         names = [f"t{i}.item" for i in range(1, k + 1)]
-        joins = "".join(
-            f" join tx t{i} on t{i}.o_orderkey = t1.o_orderkey and t{i}.item > t{i - 1}.item" for i in range(2, k + 1)
-        )
+        joins = "".join(f" join tx t{i} on t{i}.o = t1.o and t{i}.item > t{i - 1}.item" for i in range(2, k + 1))
         parts.append(
-            f"f{k} as (select [{', '.join(names)}] as items, count(*) as n_tx from tx t1{joins} "
-            f"group by all having count(*) / (select n from total) >= {min_support})"
+            f"f{k} as materialized (select [{', '.join(names)}] as items, cast(sum(t1.w) as bigint) as n_tx from tx t1{joins} "
+            f"group by all having cast(sum(t1.w) as bigint) / (select n from total) >= {min_support})"
         )
     stacked = " union all ".join(f"select items, n_tx from f{k}" for k in range(1, max_len + 1))
     parts.append(
-        f"freq as (select items, n_tx, n_tx / n as support, array_to_string(items, ', ') as s, len(items) as k "
+        f"freq as materialized (select items, n_tx, n_tx / n as support, array_to_string(items, ', ') as s, len(items) as k "
         f"from ({stacked}) cross join total)"
     )
     return ",\n".join(parts)
 
 
 def rules_sql(min_support: float, max_len: int, min_confidence: float) -> str:
-    """``rules``: every split of every frequent set by bit mask."""
+    """``rules``: every split of every frequent set, written out."""
+
+    def side(k: int, mask: int, bit: int) -> str:
+        return " || ', ' || ".join(f"items[{i + 1}]" for i in range(k) if mask >> i & 1 == bit)
+
+    splits = " union all ".join(
+        f"select support, {side(k, mask, 1)} as antecedent, {side(k, mask, 0)} as consequent from freq where k = {k}"
+        for k in range(2, max_len + 1)
+        for mask in range(1, 2**k - 1)
+    )
     return f"""{itemsets_sql(min_support, max_len)},
-masks as (
-  select support, items, k, unnest(generate_series(1, cast(pow(2, k) as bigint) - 2)) as mask from freq where k >= 2),
-splits as (
-  select support,
-    array_to_string(list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 1), ', ') as antecedent,
-    array_to_string(list_filter(items, lambda x, i: (mask >> (i - 1)) & 1 = 0), ', ') as consequent
-  from masks),
-rules as (
+splits as materialized ({splits}),
+rules as materialized (
   select antecedent, consequent, splits.support, splits.support / fa.support as confidence,
          (splits.support / fa.support) / fc.support as lift
   from splits join freq fa on fa.s = antecedent join freq fc on fc.s = consequent

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronolode.functions.encoding import to_transactions
 from chronolode.functions.quantiles import quantile
 from chronolode.operators.itemsets import (
     association_rules,
     candidate_sets,
+    closed_itemsets,
     common_and_rare_rules,
     frequent_itemsets,
     item_support,
+    itemsets_of_closed,
+    maximal_itemsets,
     mine_conditions,
     rare_rules,
     rules_for_consequents,
@@ -97,6 +101,80 @@ def rules_all_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rules(association_rules(frequent_itemsets(baskets(spark, sf_dir), 0.02, 3), 0.2))
 
 
+# Orders with items that follow from others, rush from priority and half from quarter, so
+# that some sets always occur together.
+_LINKED = """tx as materialized (
+  select o_orderkey as o, unnest([
+    'PRIO=' || o_orderpriority,
+    'RUSH=' || case when o_orderpriority in ('1-URGENT', '2-HIGH') then 'Yes' else 'No' end,
+    'STATUS=' || o_orderstatus,
+    'QUARTER=' || quarter(o_orderdate),
+    'HALF=' || ((quarter(o_orderdate) + 1) // 2)]) as item from orders),
+total as (select count(*) as n from orders)"""
+
+
+def _linked_sql(min_support: float, max_len: int) -> str:
+    """``freq`` over ``tx``: items (list), k, n_tx, support."""
+    parts = [_LINKED]
+    for k in range(1, max_len + 1):
+        names = [f"t{i}.item" for i in range(1, k + 1)]
+        joins = "".join(f" join tx t{i} on t{i}.o = t1.o and t{i}.item > t{i - 1}.item" for i in range(2, k + 1))
+        parts.append(f"f{k} as materialized (select [{', '.join(names)}] as items, count(*) as n_tx from tx t1{joins} group by all having count(*) / (select n from total) >= {min_support})")
+    stacked = " union all ".join(f"select items, n_tx from f{k}" for k in range(1, max_len + 1))
+    parts.append(f"freq as materialized (select items, len(items) as k, n_tx, n_tx / n as support from ({stacked}) cross join total)")
+    return ",\n".join(parts)
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = load(spark, sf_dir, "orders")
+    rush = F.when(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"), "Yes").otherwise("No")
+    quarter = F.quarter("o_orderdate")
+    items = orders.select(
+        "o_orderkey",
+        F.concat(F.lit("PRIO="), "o_orderpriority").alias("prio"),
+        F.concat(F.lit("RUSH="), rush).alias("rush"),
+        F.concat(F.lit("STATUS="), "o_orderstatus").alias("status"),
+        F.concat(F.lit("QUARTER="), quarter.cast("string")).alias("quarter"),
+        F.concat(F.lit("HALF="), F.floor((quarter + 1) / 2).cast("string")).alias("half"),
+    )
+    return frequent_itemsets(to_transactions(items, ["prio", "rush", "status", "quarter", "half"], "o_orderkey"), 0.01, 4)
+
+
+def _sets(df: DataFrame) -> DataFrame:
+    return rounded(_itemset_text(df.select("itemset", "n_tx", "support")), "support", places=9)
+
+
+_LINKED_ROW = "array_to_string(items, ', ') as itemset, n_tx, round(support, 9) as support"
+
+
+@query(
+    f"with {_linked_sql(0.01, 4)} select {_LINKED_ROW} from freq x where not exists "
+    "(select 1 from freq y where y.k > x.k and y.n_tx = x.n_tx and list_has_all(y.items, x.items))"
+)
+def closed_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sets(closed_itemsets(_linked(spark, sf_dir)))
+
+
+@query(
+    f"with {_linked_sql(0.01, 4)} select {_LINKED_ROW} from freq x where not exists "
+    "(select 1 from freq y where y.k > x.k and list_has_all(y.items, x.items))"
+)
+def maximal_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sets(maximal_itemsets(_linked(spark, sf_dir)))
+
+
+@query(
+    f"with {_linked_sql(0.01, 4)}, "
+    "r as (select x.items as a, y.items as s, y.support / x.support as confidence from freq x join freq y on y.k > x.k and list_has_all(y.items, x.items)) "
+    "select array_to_string(a, ', ') as antecedent, array_to_string(list_filter(s, lambda i: not list_contains(a, i)), ', ') as consequent, "
+    "round(confidence, 9) as confidence from r where confidence >= 0.6"
+)
+def rules_of_closed_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed sets lose no rule: those of the sets they stand for are all rules."""
+    frequent = materialise(itemsets_of_closed(closed_itemsets(_linked(spark, sf_dir))), "itemsets")
+    return rounded(association_rules(frequent, 0.6).select("antecedent", "consequent", "confidence"), "confidence", places=9)
+
+
 def _general(spark: SparkSession, sf_dir: str) -> DataFrame:
     return association_rules(frequent_itemsets(weighted_baskets(spark, sf_dir), 0.02, 3, weight="w"), 0.2)
 

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from chronolode.operators.itemsets import (
     association_rules,
     candidate_sets,
+    closed_itemsets,
     frequent_itemsets,
     item_support,
+    itemsets_of_closed,
+    maximal_itemsets,
     rare_rules,
     rules_for_consequents,
     rules_for_prefix,
@@ -137,3 +140,26 @@ def test_one_wide_basket_goes_level_by_level(spark):
     baskets = [[f"i{j:03d}" for j in range(200)]] * 3 + [["i000", "i001"]] * 97
     got = frequent_itemsets(table(spark, baskets), 0.5, 3)
     assert as_dict(got) == {("i000",): 1.0, ("i001",): 1.0, ("i000", "i001"): 1.0}
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcdef"), min_size=1, max_size=6), min_size=1, max_size=25))
+def test_closed_and_maximal_sets(spark, baskets):
+    """By their definitions, and closed sets give back all frequent ones."""
+    frequent = frequent_itemsets(table(spark, baskets), 0.2, 6).cache()
+    counts = {frozenset(r["itemset"]): r["n_tx"] for r in frequent.collect()}
+    above = {s: [t for t in counts if s < t] for s in counts}
+    closed = {s for s in counts if all(counts[t] < counts[s] for t in above[s])}
+    assert {frozenset(r["itemset"]) for r in closed_itemsets(frequent).collect()} == closed
+    assert {frozenset(r["itemset"]) for r in maximal_itemsets(frequent).collect()} == {s for s in counts if not above[s]}
+    again = itemsets_of_closed(closed_itemsets(frequent))
+    assert {frozenset(r["itemset"]): (r["n_tx"], r["support"]) for r in again.collect()} == {
+        frozenset(r["itemset"]): (r["n_tx"], r["support"]) for r in frequent.collect()
+    }
+    rules = association_rules(frequent, 0.3).select("antecedent", "consequent", "confidence")
+    assert sorted(association_rules(again, 0.3).select(rules.columns).collect()) == sorted(rules.collect())
+
+
+def test_no_set_is_closed_where_none_is_frequent(spark):
+    none = frequent_itemsets(table(spark, [["a"], ["b"]]), 0.9, 3)
+    assert closed_itemsets(none).collect() == maximal_itemsets(none).collect() == []
