@@ -55,6 +55,21 @@ def signed_rank_exact(w: Column, n: Column) -> Column:
     return F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), n))
 
 
+def signed_rank_exact_tied(w: Column, ranks: Column) -> Column:
+    """The same for ranks that repeat: ``ranks`` holds each pair's rank, the mean one
+    where sizes are equal. Sums are counted by doubled ranks, which are whole."""
+    doubled = F.transform(ranks, lambda r: (2 * r).cast("int"))
+    total = F.aggregate(doubled, F.lit(0), lambda a, r: a + r)
+    start = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), total))
+
+    def add_rank(counts: Column, rank: Column) -> Column:
+        return F.transform(counts, lambda c, j: c + F.when(j >= rank, F.get(counts, j - rank)).otherwise(F.lit(0.0)))
+
+    counts = F.aggregate(doubled, start, add_rank)
+    tail = F.aggregate(F.slice(counts, 1, (2 * w).cast("int") + 1), F.lit(0.0), lambda a, c: a + c)
+    return F.least(F.lit(1.0), 2 * tail / F.pow(F.lit(2.0), F.size(ranks)))
+
+
 def normal_two_sided(z: Column) -> Column:
     """P(|Z| >= |z|) for a standard normal, from the complementary error
     function: a power series near zero and a continued fraction in the tail."""

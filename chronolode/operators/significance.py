@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from chronolode.functions.distributions import (
     EXACT_PAIRS,
     normal_two_sided,
     signed_rank_exact,
+    signed_rank_exact_tied,
     student_t_two_sided,
 )
 from chronolode.operators.ordering import MAX_SERIES_ROWS, TimeOrder, with_position
@@ -74,14 +76,16 @@ def wilcoxon_signed_rank(
     pair_id: str = "fold",
     max_rows: int = MAX_SERIES_ROWS,
     method: str = "auto",
+    exact_pairs: int = EXACT_PAIRS,
 ) -> DataFrame:
     """Two-sided signed rank test per group: ``(by..., n_nonzero, w_stat, w_p)``.
 
     Zero differences are dropped and equal sizes share their mean rank. By
     ``method`` "auto" p is exact without ties and with up to 50 pairs, otherwise
-    normal with tie correction; "exact" gives null where that is not defined or
-    beyond those pairs, "normal" uses the approximation always. Groups without any difference give null. Ranks are positions by
-    size, so that a long group is not ranked in one task."""
+    normal with tie correction; "exact" counts all sign patterns with ties too, in groups of
+    up to ``exact_pairs`` differences (its work grows with the third power of them), and gives
+    null beyond; "normal" uses the approximation always. Groups without any difference give
+    null. Ranks are positions by size, so that a long group is not ranked in one task."""
     diffs = df.select(*by, pair_id, (F.col(a) - F.col(b)).alias("__d"))
     sized = diffs.where(F.col("__d").isNotNull() & (F.col("__d") != 0)).withColumn("__size", F.abs("__d"))
     order = TimeOrder("__size", ties=(pair_id,), keys=tuple(by))
@@ -103,6 +107,15 @@ def wilcoxon_signed_rank(
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("__tied") / 48)
     countable = (F.col("n_nonzero") <= EXACT_PAIRS) & (F.col("__most") == 1)
     exact = F.when(countable, signed_rank_exact(w, F.least(F.col("n_nonzero"), F.lit(EXACT_PAIRS))))
+    if method == "exact":  # the ranks of small groups, each as often as it occurs
+        few = sums.where(F.col("n_nonzero") <= exact_pairs).select(*[F.col(c).alias(f"__{c}") for c in by])
+        same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by])
+        small = ties.join(few, same, "left_semi")
+        repeated = F.array_repeat("rank", F.col("c").cast("int"))
+        ranks = small.groupBy(*by).agg(F.flatten(F.collect_list(repeated)).alias("__ranks"))
+        joined = sums.alias("s").join(ranks.select(*[F.col(c).alias(f"__{c}") for c in by], "__ranks"), same, "left")
+        sums = joined.select("s.*", "__ranks")
+        exact = F.when(F.col("__ranks").isNotNull(), signed_rank_exact_tied(w, F.col("__ranks")))
     normal = normal_two_sided((w - n * (n + 1) / 4) / spread)
     p = {"auto": F.when(countable, exact).otherwise(normal), "exact": exact, "normal": normal}[method]
     tested = sums.select(*by, "n_nonzero", w.alias("w_stat"), p.alias("w_p"))

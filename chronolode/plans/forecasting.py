@@ -430,29 +430,46 @@ def best_by_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_model(fold_scores(spark, sf_dir))
 
 
-_TWO_TABLES = (
-    f"{FOLD_SCORES}, a as (select algorithm, mae, rmse, r2 from fold_scores where fold = 1), "
-    "b as (select algorithm || ' [Tuned]' as algorithm, mae, rmse, r2 from fold_scores where fold = 2)"
-)
+# Ridge with a light and with a heavy penalty, before and after a grid of its own.
+_TUNED_GRIDS = {"ridge": (1.0, RIDGE_GRID["alpha"]), "heavy": (100000.0, [1000.0, 10000.0, 100000.0])}
+
 
+def _tuned_sql() -> str:
+    """``scored``: holdout scores by model and whether it is tuned, not rounded."""
+    alphas = sorted({a for first, grid in _TUNED_GRIDS.values() for a in (first, *grid)})
+    picks = " union all ".join(
+        f"select '{m}' as model, 0 as tuned, {first}::double as alpha union all "
+        f"select '{m}', 1, (select alpha from means where alpha in ({', '.join(map(str, grid))}) order by rmse, alpha limit 1)"
+        for m, (first, grid) in _TUNED_GRIDS.items()
+    )
+    return f"""{folds_sql(alphas, limit=_TRAIN_PART)},
+means as (select alpha, avg(rmse) as rmse from fold_scored group by 1),
+picks as ({picks}),
+fitted as ({solve_sql(f"(select pairs.*, model, tuned, alpha from pairs cross join picks where pos < {_HOLDOUT})", "model, tuned", "any_value(alpha)")}),
+scored as (
+  select model, tuned, {_SCORE_SQL.replace('round(', '(').replace(', 6)', ')')}
+  from (select model, tuned, y, b0 + b1 * a + b2 * b as p from pairs cross join fitted where pos >= {_HOLDOUT}) group by 1, 2)"""
 
-def _two_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    scores = fold_scores(spark, sf_dir)
-    first, second = (scores.where(F.col("fold") == f).drop("fold") for f in (1, 2))
-    return first, second
 
+def _untuned_and_tuned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Holdout scores of both models before and after their grids on the training part."""
+    table = pair_table(spark, sf_dir)
+    train = table.first(holdout_start(table.rows))
+    searches = [Search(ridge(first, name), {"alpha": list(grid)}) for name, (first, grid) in _TUNED_GRIDS.items()]
+    _, found, _ = tune_all(train, searches, refit=None)
+    before, _ = holdout_benchmark(table, [s.model for s in searches])
+    after, _ = holdout_benchmark(table, [found[s.model.name].best for s in searches])
+    return before, after
 
-@query(f"with {_TWO_TABLES} select * from a union all select * from b")
+
+@query(f"with {_tuned_sql()} select model || case tuned when 1 then ' [Tuned]' else '' end as algorithm, {_ROUND} from scored")
 def untuned_and_tuned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return compare_scores(*_two_tables(spark, sf_dir))
+    return rounded(compare_scores(*_untuned_and_tuned(spark, sf_dir)), *_SCORES)
 
 
-@query(
-    f"with {_TWO_TABLES} select replace(algorithm, ' [Tuned]', '') as algorithm, mae, rmse, r2 from "
-    "(select *, 0 as t from a union all select *, 1 from b) order by r2 desc, t, 1 limit 1"
-)
+@query(f"with {_tuned_sql()} select model as algorithm, {_ROUND} from scored order by scored.r2 desc, tuned, model limit 1")
 def best_after_tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_of_tuned(*_two_tables(spark, sf_dir))
+    return rounded(best_of_tuned(*_untuned_and_tuned(spark, sf_dir)), *_SCORES)
 
 
 @query(
@@ -526,6 +543,32 @@ def signed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(wilcoxon_signed_rank(both, "a", "b", ["model_a", "model_b", "metric"]), "w_p")
 
 
+_TIED = """tied as (select model_a, model_b, metric, fold, round(d, 2) as d from pairs where round(d, 2) <> 0),
+ranks as (
+  select *, rank() over w + (count(*) over (partition by model_a, model_b, metric, abs(d)) - 1) / 2.0 as r,
+    row_number() over (partition by model_a, model_b, metric order by fold) - 1 as i
+  from tied window w as (partition by model_a, model_b, metric order by abs(d))),
+told as (select model_a, model_b, metric, count(*) as n_nonzero,
+  least(sum(case when d > 0 then r else 0 end), sum(case when d < 0 then r else 0 end)) as w from ranks group by 1, 2, 3),
+patterns as (
+  select model_a, model_b, metric, s, sum(r * ((s >> i) & 1)) as total
+  from ranks cross join (select unnest(generate_series(0, 31)) as s) group by 1, 2, 3, 4),
+p as (select model_a, model_b, metric, least(1.0::double, 2 * count_if(total <= w) / 32.0::double) as w_p
+  from patterns join told using (model_a, model_b, metric) group by 1, 2, 3)"""
+
+
+@query(
+    f"with {_ALL_PAIRS}, {_TIED} select model_a, model_b, metric, n_nonzero, w::double as w_stat, w_p from "
+    "(select distinct model_a, model_b, metric from pairs) left join told using (model_a, model_b, metric) "
+    "left join p using (model_a, model_b, metric)"
+)
+def signed_rank_with_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Differences to two places, so that some are equal or zero, by exact counting."""
+    both = paired_scores(unpivot_scores(fold_scores(spark, sf_dir)), score_pairs(SCORE_NAMES))
+    coarse = both.withColumns({"a": F.round(F.col("a") - F.col("b"), 2), "b": F.lit(0.0)})
+    return wilcoxon_signed_rank(coarse, "a", "b", ["model_a", "model_b", "metric"], method="exact")
+
+
 _TEST_ROWS = (
     "select model_a, model_b, metric, round(mean_diff, 9) as mean_diff, case when mean_diff > 0 then model_a else model_b end as higher_mean, "
     "round(t_p, 6) as t_p, round(w_p, 6) as w_p, t_p < 0.05 as significant_t, w_p < 0.05 as significant_w "

@@ -6,7 +6,7 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-TABLES = "customer orders lineitem events documents conversations".split()
+TABLES = "customer orders lineitem events documents embeddings conversations".split()
 
 
 @pytest.fixture(scope="module")

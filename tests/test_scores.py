@@ -1,6 +1,7 @@
 """Scores, summaries and paired tests, some against published score tables."""
 
 import math
+import random
 from itertools import product
 
 import numpy as np
@@ -203,4 +204,30 @@ def test_signed_rank_method(spark):
     assert p["auto"] == p["exact"] != p["normal"]
     tied = df.withColumn("b", F.col("a") + 1)
     q = {m: wilcoxon_signed_rank(tied, "a", "b", ["g"], method=m).first()["w_p"] for m in ("auto", "exact", "normal")}
-    assert q["exact"] is None and q["auto"] == q["normal"]
+    assert q["exact"] == pytest.approx(2 / 2**12) and q["auto"] == q["normal"]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_exact_signed_rank_with_ties(spark, seed):
+    """All sign patterns listed, with ties and zeros, up to sixteen pairs."""
+    r = random.Random(seed)
+    groups = {g: [r.randrange(-4, 6) for _ in range(n)] for g, n in enumerate((3, 7, 11, 16))}
+    df = spark.createDataFrame([(g, i, float(x)) for g, d in groups.items() for i, x in enumerate(d)], "g int, fold int, a double")
+    got = {x["g"]: x for x in wilcoxon_signed_rank(df.withColumn("b", F.lit(0.0)), "a", "b", ["g"], method="exact").collect()}
+    for g, d in groups.items():
+        d = [x for x in d if x]
+        sizes = sorted(abs(x) for x in d)
+        ranks = [sizes.index(abs(x)) + (sizes.count(abs(x)) + 1) / 2 for x in d]
+        w = min(sum(k for k, x in zip(ranks, d) if x > 0), sum(k for k, x in zip(ranks, d) if x < 0))
+        low = sum(sum(k for i, k in enumerate(ranks) if s >> i & 1) <= w for s in range(2 ** len(d)))
+        assert (got[g]["n_nonzero"], got[g]["w_stat"]) == (len(d), w)
+        assert got[g]["w_p"] == pytest.approx(min(1, 2 * low / 2 ** len(d)))
+
+
+def test_exact_signed_rank_of_more_pairs(spark):
+    """With more pairs than asked for null; asked for, near the approximation."""
+    r = random.Random(1)
+    df = spark.createDataFrame([(0, i, float(r.randrange(-9, 14))) for i in range(70)], "g int, fold int, a double").withColumn("b", F.lit(0.0))
+    assert wilcoxon_signed_rank(df, "a", "b", ["g"], method="exact").first()["w_p"] is None
+    exact = wilcoxon_signed_rank(df, "a", "b", ["g"], method="exact", exact_pairs=100).first()["w_p"]
+    assert exact == pytest.approx(wilcoxon_signed_rank(df, "a", "b", ["g"], method="normal").first()["w_p"], abs=0.01)
