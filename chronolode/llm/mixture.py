@@ -31,7 +31,7 @@ from chronolode.llm.common import packed, table, unpacked, words, written
 
 MAX_RATE = 3
 BLOCK = 1000
-#: Newton ends when every mass is this close to its target, or after so many steps.
+#: Newton ends when every mass is this close to its target; it is an error if that takes more steps.
 TOLERANCE, STEPS = 1e-9, 60
 
 
@@ -86,8 +86,8 @@ def newton_multipliers(
             worst = max(worst, after.agg(F.max("error")).first()[0] or 0.0)
             found[column] = after.drop("error")
         if worst <= tolerance:
-            break
-    return found
+            return found
+    raise RuntimeError(f"no mixture after {steps} Newton steps: a mass is {worst:.3g} of its target away from it")
 
 
 def tilted(df: DataFrame, multipliers: dict[str, DataFrame], max_rate: float = MAX_RATE) -> DataFrame:

@@ -4,16 +4,21 @@ Each document gets whole-number measures of its text. A quantile sketch of every
 measure is kept per language and source: a histogram of values rounded to one
 part in 32, so sketches merge by adding counts, in any order, to the same result.
 Counts are summed on the map side, so a source with a third of all rows sends a
-few hundred rows per task. A document is rejected where a measure lies beyond the
-upper fence of its group, ``q75 + spread * (q75 - q25) + slack``; a group with
-too few documents uses the sketch of its language, and that of all documents
-where the language has too few as well. Cutoffs are joined back by language and
-source.
+few hundred rows per task. Only documents that pass the base rules are sketched. A
+document is rejected where a measure lies beyond the fence of its group, ``median +
+spread * deviation``. The deviation is the root mean square of distances from the
+median, none counted as more than the rule's ``clip``, so junk in under half of a group
+moves the fence by a bounded amount, and documents that are mostly zero still have a
+spread of their own; ``least`` is the smallest deviation assumed, for groups without
+any. A group with too few documents uses the sketch of its language, and that of all
+documents where the language has too few as well. Cutoffs are joined back by language
+and source.
 
 Defined results: a null text has no words and fails the base rules, null
-languages and sources are groups of their own, an empty table gives an empty
-one, other columns pass through untouched, repeated rows count as often as they
-occur.
+languages and sources are groups of their own, a group without a document that passes
+the base rules has no cutoffs and keeps none, an empty table gives an empty one, other
+columns pass through untouched, repeated rows count as often as they occur. A very long
+text is measured whole, its word hashes and windows in one row's arrays.
 """
 
 from __future__ import annotations
@@ -31,22 +36,24 @@ MIN_WORDS, MAX_REPEATED = 10, 20
 
 @dataclass(frozen=True)
 class Rule:
-    """A measure in thousandths, with the slack beyond its fence."""
+    """A measure in thousandths, the most that a document's distance from the median
+    counts, and the least deviation of a group."""
 
     name: str
     value: str
-    slack: int
+    clip: int
+    least: int
 
 
 RULES = (
-    Rule("symbols", "1000 * n_symbols div greatest(word_chars, 1)", 30),
-    Rule("duplicate_lines", "1000 * n_dup_lines div greatest(n_lines, 1)", 500),
-    Rule("repeated_words", "1000 * n_repeat_words div greatest(n_words, 1)", 200),
-    Rule("capitals", "1000 * n_capitals div greatest(word_chars, 1)", 200),
-    Rule("word_length", "1000 * word_chars div greatest(n_words, 1)", 3000),
+    Rule("symbols", "1000 * n_symbols div greatest(word_chars, 1)", 12, 1),
+    Rule("duplicate_lines", "1000 * n_dup_lines div greatest(n_lines, 1)", 200, 15),
+    Rule("repeated_words", "1000 * n_repeat_words div greatest(n_words, 1)", 100, 5),
+    Rule("capitals", "1000 * n_capitals div greatest(word_chars, 1)", 30, 2),
+    Rule("word_length", "1000 * word_chars div greatest(n_words, 1)", 800, 100),
 )
-#: Widths of the fence, and the documents a group needs for a cutoff of its own.
-SPREAD, MIN_DOCS = 4, 100
+#: Deviations from the median to the fence, and the documents a group needs for a cutoff of its own.
+SPREAD, MIN_DOCS = 12, 100
 
 
 def _repeated(n_words: str, windows: str) -> str:
@@ -120,10 +127,11 @@ def cell_value(at: Column) -> Column:
 
 
 def sketch(df: DataFrame, keys: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Counts by ``keys``, rule and cell, and again by fewer keys: ``level`` says how
-    many lead. Sketches of parts of the data merge by adding up ``n``."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), cell(F.expr(r.value)).alias("cell")) for r in rules]))
-    cells = df.select(*keys, pairs.alias("p")).groupBy(*keys, "p.rule", "p.cell").agg(F.count(F.lit(1)).alias("n"))
+    """Counts by ``keys``, rule and cell over documents that pass the base rules, and again
+    by fewer keys: ``level`` says how many lead. Sketches of parts of the data merge by
+    adding up ``n``."""
+    pairs = F.array(*[F.struct(F.lit(r.name).alias("rule"), cell(F.expr(r.value)).alias("cell")) for r in rules])
+    cells = df.select(*keys, F.explode(F.when(~base_failed(), pairs)).alias("p")).groupBy(*keys, "p.rule", "p.cell").agg(F.count(F.lit(1)).alias("n"))
     whole = cells.select(F.explode(F.sequence(F.lit(0), F.lit(len(keys)))).alias("level"), *cells.columns).select(
         "level",
         *[F.when(F.col("level") > i, F.col(k)).alias(k) for i, k in enumerate(keys)],
@@ -140,13 +148,15 @@ def cutoffs(
     group = Window.partitionBy("level", *keys, "rule")
     up_to = group.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
     ranked = sketched.withColumns({"upto": F.sum("n").over(up_to), "all": F.sum("n").over(group)})
-    at = [F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("cell"))).alias(f"q{q}") for q in (1, 3)]
-    fences = ranked.groupBy("level", *keys, "rule").agg(F.max("all").alias("docs"), *at)
-    slack = F.create_map(*[x for r in rules for x in (F.lit(r.name), F.lit(r.slack))])
-    fences = fences.select(
-        "level", *keys, "rule", "docs",
-        (cell_value(F.col("q3")) * (1 + spread) - cell_value(F.col("q1")) * spread + slack[F.col("rule")]).alias("cut"),
-    )
+    middle = F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col("cell"))).over(group)
+    of_rule = {x: F.create_map(*[y for r in rules for y in (F.lit(r.name), F.lit(getattr(r, x)))])[F.col("rule")] for x in ("clip", "least")}
+    away = F.least(F.abs(cell_value(F.col("cell")) - F.col("mid")), of_rule["clip"])
+    apart = ranked.withColumn("mid", cell_value(middle)).withColumn("squares", F.col("n") * away * away)
+    fences = apart.groupBy("level", *keys, "rule").agg(
+        F.max("all").alias("docs"), F.max("mid").alias("mid"), F.sum("squares").alias("squares")
+    )
+    deviation = F.greatest(F.sqrt(F.col("squares") / F.col("docs")), of_rule["least"].cast("double"))
+    fences = fences.select("level", *keys, "rule", "docs", (F.col("mid") + F.ceil(deviation * spread)).alias("cut"))
     wide = fences.groupBy("level", *keys).agg(
         F.max("docs").alias("docs"), *[F.max(F.when(F.col("rule") == r.name, F.col("cut"))).alias(r.name) for r in rules]
     )
@@ -233,19 +243,21 @@ rep as (select doc_id, count(distinct i + o) as n_repeat_words
         from twice, (select unnest([0, 1, 2, 3, 4]) as o) group by doc_id),
 m as (select n.*, coalesce(n_repeat_words, 0) as n_repeat_words from n left join rep using (doc_id)),
 v as (select lang, source, rule, value from m, lateral (values
-  {', '.join(f"('{k}', {x})" for k, x in _VALUES.items())}) as t(rule, value)),
+  {', '.join(f"('{k}', {x})" for k, x in _VALUES.items())}) as t(rule, value)
+  where n_words >= {MIN_WORDS} and 100 * n_repeat_words <= {MAX_REPEATED} * n_words),
 c as (select *, if(value < 64, value,
     64 + 32 * (length(bin(value)) - 7) + (value >> greatest(length(bin(value)) - 6, 0)) - 32) as cell from v),
 s as (select level, if(level > 0, lang, null) as lang, if(level > 1, source, null) as source, rule, cell, count(*) as n
       from c, (select unnest([0, 1, 2]) as level) group by all),
 r as (select *, sum(n) over (partition by level, lang, source, rule order by cell) as upto,
         sum(n) over (partition by level, lang, source, rule) as total from s),
-q as (select level, lang, source, rule, max(total) as docs, min(cell) filter (upto * 4 >= total) as q1,
-        min(cell) filter (upto * 4 >= total * 3) as q3 from r group by all),
-f as (select level, lang, source, rule, docs,
-    {1 + SPREAD} * if(q3 < 64, q3, (32 + (q3 - 64) % 32) << ((q3 - 64) // 32 + 1))
-    - {SPREAD} * if(q1 < 64, q1, (32 + (q1 - 64) % 32) << ((q1 - 64) // 32 + 1))
-    + case rule {' '.join(f"when '{r.name}' then {r.slack}" for r in RULES)} end as cut from q),
+q as (select *, if(cell < 64, cell, (32 + (cell - 64) % 32) << ((cell - 64) // 32 + 1)) as value,
+    min(cell) filter (upto * 2 >= total) over (partition by level, lang, source, rule) as half from r),
+x as (select *, if(half < 64, half, (32 + (half - 64) % 32) << ((half - 64) // 32 + 1)) as mid,
+    least(abs(value - mid), case rule {' '.join(f"when '{r.name}' then {r.clip}" for r in RULES)} end) as away from q),
+f as (select level, lang, source, rule, max(total) as docs, max(mid) + cast(ceil({SPREAD} * greatest(
+    sqrt(cast(sum(n * away * away) as double) / max(total)),
+    case rule {' '.join(f"when '{r.name}' then {r.least}" for r in RULES)} end)) as bigint) as cut from x group by level, lang, source, rule),
 k as (select a.lang, a.source, a.rule,
     case when a.docs >= {MIN_DOCS} then a.cut when b.docs >= {MIN_DOCS} then b.cut else z.cut end as cut
   from f a join f b on b.level = 1 and b.rule = a.rule and b.lang is not distinct from a.lang
@@ -253,7 +265,7 @@ k as (select a.lang, a.source, a.rule,
 w as (select lang, source, {', '.join(f"max(cut) filter (rule = '{r.name}') as c_{r.name}" for r in RULES)} from k group by all),
 o as (select m.*, n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEATED} * n_words as base_failed,
     {' and '.join(f"{x} <= c_{k}" for k, x in _VALUES.items())} as within
-  from m join w on m.lang is not distinct from w.lang and m.source is not distinct from w.source)
+  from m left join w on m.lang is not distinct from w.lang and m.source is not distinct from w.source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and within as kept
 from o
 """

@@ -49,6 +49,81 @@ def test_quality_cutoffs_follow_the_group(docs):
     assert ids == {x.doc_id for x in quality.quality_verdicts(df).collect() if x.kept}
 
 
+def clean_text(r, words=60):
+    return " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(words))
+
+
+def lines_of(r, words, lines, same):
+    """``lines`` lines of few words; the last ``same`` repeat the first."""
+    rows = [clean_text(r, words) for _ in range(lines - same)]
+    return "\n".join(rows + [rows[0]] * same)
+
+
+def test_each_quality_rule_rejects_beyond_the_base_rules(docs):
+    r = random.Random(5)
+    rows = [(i, clean_text(r) if i % 20 else lines_of(r, 4, 8, 1), "en", "s") for i in range(300)]
+    phrase = clean_text(r, 5)
+    junk = {
+        "symbols": clean_text(r).replace(" ", " # ", 30),
+        "duplicate_lines": "\n".join(x for _ in range(8) for x in ("same short line", clean_text(r, 4))),
+        "repeated_words": f"{phrase} {clean_text(r, 25)} {phrase} {clean_text(r, 20)}",
+        "capitals": clean_text(r).upper(),
+        "word_length": clean_text(r).replace(" ", "", 45),
+    }
+    rows += [(1000 + i, t, "en", "s") for i, t in enumerate(junk.values())]
+    got = {x.doc_id: x for x in quality.quality_verdicts(docs(rows)).collect()}
+    assert all(got[i].kept for i in range(300))
+    assert [(got[1000 + i].base_failed, got[1000 + i].kept) for i in range(5)] == [(False, False)] * 5
+    measure = quality.measured(docs(rows).select("doc_id", F.col("text").alias("x")), F.col("x"))
+    cuts = quality.cutoffs(quality.sketch(measure.withColumn("k", F.lit(1)), ("k",)), ("k",)).first().cuts
+    for i, rule in enumerate(quality.RULES):  # each text fails the rule it was made for and no other
+        values = measure.filter(F.col("doc_id") == 1000 + i).select(*[F.expr(x.value).alias(x.name) for x in quality.RULES]).first()
+        assert values[rule.name] > cuts[rule.name]
+        assert [x.name for x in quality.RULES if values[x.name] > cuts[x.name]] == [rule.name]
+
+
+def test_a_source_with_much_junk_loses_it(docs):
+    r = random.Random(6)
+    rows = []
+    for i in range(400):  # three of ten texts of one source are junk of three kinds
+        text, part = clean_text(r), i % 10
+        if i % 2 == 0 and part in (0, 2, 4):
+            text = {0: text.replace(" ", " ## "), 2: text.upper(), 4: text.replace(" ", "", 55)}[part]
+            rows.append((i, text, "en", "mixed"))
+        else:
+            rows.append((i, text, "en", "mixed" if i % 20 < 10 else "clean"))
+    junk = {i for i in range(400) if i % 10 in (0, 2, 4)}
+    kept = {x.doc_id for x in quality.quality_filter(docs(rows)).collect()}
+    assert kept == set(range(400)) - junk
+
+
+def test_quality_cutoffs_differ_by_group_for_every_rule(docs):
+    r = random.Random(7)
+    rows = []
+    for i in range(240):
+        text = lines_of(r, 6, 10, 0)
+        if i % 2 and i % 12 == 1:  # one source has a little of everything
+            text = "a" * 40 + " & & &\n" + lines_of(r, 6, 10, 1).replace("a", "A")
+        rows.append((i, text, "en", "xy"[i % 2]))
+    keys = ("lang", "source")
+    measure = quality.measured(docs(rows).select(*keys, F.col("text").alias("x")), F.col("x"))
+    one, two = (x.cuts for x in quality.cutoffs(quality.sketch(measure, keys), keys).orderBy("source").collect())
+    assert all(two[x.name] > one[x.name] for x in quality.RULES)
+    assert quality.cutoffs(quality.sketch(measure.limit(0), keys), keys).count() == 0
+
+
+def test_a_group_that_fails_the_base_rules_keeps_none(docs):
+    got = quality.quality_verdicts(docs([(1, "too short", "en", "a"), (2, None, None, None), (2, "", "en", "b")])).collect()
+    assert [(x.base_failed, x.kept) for x in got] == [(True, False)] * 3
+
+
+def test_quality_of_a_very_long_text(docs):
+    r = random.Random(8)
+    long = clean_text(r, 200_000)
+    got = quality.quality_verdicts(docs([(1, long, "en", "a"), (2, clean_text(r, 30), "en", "a")])).collect()
+    assert {x.doc_id: (x.n_words, x.kept) for x in got} == {1: (200_000, True), 2: (30, True)}
+
+
 def test_quality_sketch_cells(spark):
     df = spark.range(1_000_000).select(F.col("id"), quality.cell(F.col("id")).alias("c")).withColumn("v", quality.cell_value(F.col("c")))
     assert df.filter("v > id OR id - v > id / 32").count() == 0
@@ -67,6 +142,13 @@ def test_quality_sketches_merge(docs):
     assert sorted(map(str, whole.collect())) == sorted(map(str, merged.collect()))
 
 
+def test_mixture_without_a_solution_is_an_error(spark):
+    cells = spark.createDataFrame([("a", 10), ("b", 10)], "source string, mass long")
+    targets = {"source": spark.createDataFrame([("a", 10.0), ("b", 50.0)], "level string, target double")}
+    with pytest.raises(RuntimeError, match="Newton"):  # b can reach 30 at most
+        mixture.newton_multipliers(cells, targets, 3, steps=4)
+
+
 def test_mixture(docs):
     r = random.Random(9)
     rows = [(i, "w " * (1 + int(r.expovariate(1 / 80))), "en", "hot" if i % 3 == 0 else r.choice(["b", "c", "d", None])) for i in range(3000)]
