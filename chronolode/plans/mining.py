@@ -35,6 +35,7 @@ from chronolode.operators.profile import (
     profile,
 )
 from chronolode.operators.series import interpolate_linear
+from chronolode.operators.vertical import itemsets_by_bitmaps as by_bitmaps
 from chronolode.plans.inputs import (
     BASKET_RULES,
     BASKETS,
@@ -96,6 +97,12 @@ def itemsets_by_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_itemset_text(found), "support", places=9)
 
 
+@query(f"with {itemsets_sql(0.006, 4)} select s as itemset, n_tx, round(support, 9) as support from freq")
+def itemsets_by_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = by_bitmaps(weighted_baskets(spark, sf_dir), 0.006, 4, weight="w")
+    return rounded(_itemset_text(found), "support", places=9)
+
+
 @query(f"with {rules_sql(0.02, 3, 0.2)} select {_RULE_SQL} from rules")
 def rules_all_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rules(association_rules(frequent_itemsets(baskets(spark, sf_dir), 0.02, 3), 0.2))

@@ -18,6 +18,7 @@ from chronolode.operators.itemsets import (
     rules_for_prefix,
     top_rules,
 )
+from chronolode.operators.vertical import _block_size, itemsets_by_bitmaps
 
 SCHEMA = "items array<string>"
 
@@ -163,3 +164,36 @@ def test_closed_and_maximal_sets(spark, baskets):
 def test_no_set_is_closed_where_none_is_frequent(spark):
     none = frequent_itemsets(table(spark, [["a"], ["b"]]), 0.9, 3)
     assert closed_itemsets(none).collect() == maximal_itemsets(none).collect() == []
+
+
+@settings(max_examples=6, deadline=None)
+@given(
+    baskets=st.lists(st.sets(st.sampled_from("abcdefg"), max_size=7), min_size=1, max_size=200),
+    min_support=st.sampled_from([0.05, 0.2]),
+    at_once=st.sampled_from([3, 10_000]),
+    block=st.sampled_from([64, None]),
+)
+def test_itemsets_by_bitmaps_equal_brute_force(spark, baskets, min_support, at_once, block):
+    got = as_dict(itemsets_by_bitmaps(table(spark, baskets), min_support, 5, at_once=at_once, block=block))
+    assert got == brute_force(baskets, min_support, 5)
+
+
+def test_bitmaps_over_many_blocks_with_weights(spark):
+    """Some 2,000 distinct baskets in blocks of 64, weights of up to 40 digits."""
+    rows = [(sorted({f"i{j}" for j in range(11) if i >> j & 1}), (i * 2654435761) % (1 << (i % 41))) for i in range(2048)]
+    tx = spark.createDataFrame(rows, "items array<string>, w long").repartition(3)
+    a = itemsets_by_bitmaps(tx, 0.1, 4, weight="w", at_once=50, block=64)
+    b = frequent_itemsets(tx, 0.1, 4, weight="w")
+    rows_of = lambda df: sorted((tuple(r["itemset"]), r["n_tx"]) for r in df.collect())
+    assert rows_of(a) == rows_of(b) and any(len(s) == 4 for s, _ in rows_of(a))
+
+
+def test_bitmaps_without_rows_pairs_or_frequent_sets(spark):
+    for baskets, support in (([], 0.1), ([[]], 0.1), ([["a"], ["b"], ["c"]], 0.9), ([["a"], ["b"]], 0.1)):
+        got = as_dict(itemsets_by_bitmaps(table(spark, baskets), support, 3))
+        assert got == (brute_force(baskets, support, 3) if baskets else {})
+    assert set(as_dict(itemsets_by_bitmaps(table(spark, [["a", "b"]] * 3), 0.5, 1))) == {("a",), ("b",)}
+
+
+def test_blocks_shrink_with_the_items():
+    assert _block_size(10) == 1 << 15 and _block_size(1 << 20) == 512 and _block_size(1 << 30) == 64
