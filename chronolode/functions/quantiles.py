@@ -97,7 +97,8 @@ def _by_sketches(rows: DataFrame, probs: Sequence[float], max_rows: int) -> Data
     listed = ranges.where(~one & few).select("g", "cell", "below", "ranks")
     done = done.unionByName(_picked(counted.select("g", "cell", "v", "w").join(listed, ["g", "cell"])))
     left = ranges.where(~one & ~few).select("g", "lo", "hi", "below", "rows", "ranks")
-    done = done.unionByName(_narrowed_down(rows, left, max_rows))
+    if not left.isEmpty():
+        done = done.unionByName(_narrowed_down(rows, left, max_rows))
     at = done.groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
 
     def between(place: Column) -> Column:
