@@ -3,6 +3,7 @@ from math import factorial
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from chronolode.operators.attribution import (
@@ -21,7 +22,7 @@ from chronolode.operators.benchmark import (
     seed_robustness,
 )
 from chronolode.operators.features import FeatureSpec
-from chronolode.operators.models import boosted, default_models, fit, forest, ridge, score, training_table, tree
+from chronolode.operators.models import assembled, boosted, default_models, fit, forest, ridge, score, training_table, tree
 from chronolode.operators.ordering import TimeOrder, fold_of, fold_starts
 from chronolode.operators.ridge import column_means, ridge_coefficients, sums_of_products
 from chronolode.operators.tuning import (
@@ -106,6 +107,27 @@ def test_equal_seeds_give_equal_trees(spark, table, partitions):
     assert predictions() == first
 
 
+def test_many_fits_put_their_vectors_together_once(table, monkeypatch):
+    called, plain = [], VectorAssembler._transform
+    monkeypatch.setattr(VectorAssembler, "_transform", lambda self, df: called.append(1) or plain(self, df))
+    models = [tree(max_depth=2), forest(trees=3, max_depth=3), boosted(rounds=2, max_depth=2)]
+    scored = fold_predictions(table, models, 2)
+    assert len(called) == 1
+    starts, size = fold_starts(N, 2)
+    for spec in models:
+        for f, start in enumerate(starts):
+            alone = score(fit(spec, table.first(start)), table.between(start, start + size))
+            got = scored.where((F.col("algorithm") == spec.name) & (F.col("fold") == f + 1))
+            assert sorted(got.select("label", "prediction").collect()) == sorted(alone.select("label", "prediction").collect())
+
+
+def test_a_fit_on_vectors_takes_rows_with_plain_features(table):
+    for spec in (ridge(3.0), forest(trees=2, max_depth=3)):
+        whole, plain = (fit(spec, t.first(400)) for t in (assembled(table), table))
+        some = table.between(400, N)
+        assert [r.prediction for r in score(whole, some).collect()] == pytest.approx([r.prediction for r in score(plain, some).collect()])
+
+
 def test_boosting_rate_is_the_share_of_the_residual(table):
     x, y = data()
     one = fit(boosted(rounds=1, rate=0.3, max_depth=2, rows=1.0, cols=1.0), table)
