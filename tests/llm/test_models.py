@@ -257,5 +257,55 @@ def test_bits_per_byte(corpus):
         assert math.isclose(t.bits_per_byte, -sum(r.score for r in own) / math.log10(2) / t.n_bytes, rel_tol=1e-9)
 
 
+def test_models_travel_compressed():
+    """Every executor and the driver keep each model that is sent on their disks."""
+    import pickle
+
+    r = np.random.default_rng(3)
+    tables = (r.integers(0, 3, (len(mixing_lm.ORDERS), mixing_lm.SLOTS)) * (r.random(mixing_lm.SLOTS) < 0.1)).astype(np.uint32)
+    pairs = mixing_lm.log_odds(r.integers(0, 4, mixing_lm.PAIR_SLOTS + 5).astype(np.uint32))
+    sent = pickle.dumps(mixing_lm.Model(np.ones(mixing_lm.SYMBOLS), tables, None, pairs))
+    assert len(sent) < (tables.nbytes + pairs.nbytes) / 4
+    got = pickle.loads(sent)
+    assert got.weights is None and (got.tables == tables).all() and (got.pairs == pairs).all()
+    assert got.tables.dtype == tables.dtype and got.pairs.dtype == pairs.dtype
+    assert pickle.loads(pickle.dumps(mixing_lm.Model(got.counts, tables))).pairs is None
+
+
+def test_models_of_learning_leave_the_disk(spark):
+    """Only the model to score with may stay, not those that its weights came from."""
+    import os
+
+    def held():
+        return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(spark.sparkContext._temp_dir) for f in files)
+
+    known = spark.range(2000).selectExpr("cast(concat('w', id) as binary) AS word", "2L AS c")
+    pairs = spark.createDataFrame([], "spelled binary, each binary, before binary, times binary")
+    before = held()
+    mixing_lm._learned(known, 2000, pairs, 0)
+    assert held() - before < 1 << 20
+
+
+def test_pairs_of_a_chunk():
+    """Every word of the texts learned from with a hash of the word before, once with its uses."""
+    import pyarrow as pa
+
+    texts = ["Sun fog sun\nfog", "fog sun sun fog fog", "", "left out of it", "x"]
+    chunk, want = mixing_lm._Chunk(), {}
+    for text in texts:
+        chunk.add(text)
+    which = [True, True, True, False, True]
+    for text in (x for x, use in zip(texts, which, strict=True) if use):
+        last = 0
+        for w in [*lower(text).encode().split(), b""]:
+            want[w, last] = want.get((w, last), 0) + 1
+            last = int(mixing_lm._before([w])[0])
+    got = {}
+    for words, after, before, times in mixing_lm._pair_parts(pa.RecordBatch.from_pylist([chunk.pairs(which)])):
+        got |= {(words[i], int(b)): int(n) for i, b, n in zip(after, before, times, strict=True)}
+    assert got == want and sum(want.values()) == 4 + 5 + 1 + 4 * 1
+    assert chunk.pairs([False] * 5) is None
+
+
 def test_empty(empty):
     assert mixing_lm.log_probabilities(empty, F.lit(False)).count() == 0
