@@ -286,6 +286,25 @@ def test_models_of_learning_leave_the_disk(spark):
     assert held() - before < 1 << 20
 
 
+def test_scores_do_not_depend_on_what_is_held_at_once(monkeypatch):
+    """The words of a few documents at a time, whatever their order and number."""
+    r = np.random.default_rng(5)
+    model = _model([b"ab", b"ba", b"abba", b""])
+    model.pairs = r.normal(size=mixing_lm.PAIR_SLOTS).astype(np.float32)
+    model.pair_weights = r.random((2 * mixing_lm.GATES, 2))
+    words = [b"ab", b"ba", b"abba", b"x", b"never", b""]
+    docs = [np.append(r.integers(0, 4, n), 5) for n in (90, 3, 0, 40, 200)]
+    whole = mixing_lm.Scorer(model).word_scores(words, docs)
+    held = []
+    spelled = mixing_lm.Scorer._spelled
+    monkeypatch.setattr(mixing_lm.Scorer, "_spelled", lambda self, own: held.append(own) or spelled(self, own))
+    for tokens, documents in ((1, 1), (60, 2), (150, 400)):
+        monkeypatch.setattr(mixing_lm, "TOKENS", tokens)
+        monkeypatch.setattr(mixing_lm, "DOCUMENTS", documents)
+        assert (mixing_lm.Scorer(model).word_scores(words, docs) == whole).all()
+    assert [b""] in held and not any(b"never" in own for own in held)
+
+
 def test_pairs_of_a_chunk():
     """Every word of the texts learned from with a hash of the word before, once with its uses."""
     import pyarrow as pa
