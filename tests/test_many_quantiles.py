@@ -45,3 +45,10 @@ def test_probabilities_need_no_order(rows):
     probs = [(7 * i % 31 + 1) / 32 for i in range(31)]
     found = quantile_edges(df, ["a"], probs, max_rows=100)["a"]
     assert found == pytest.approx(quantile_edges(df, ["a"], probs)["a"])
+
+
+def test_the_plan_does_not_grow_with_the_quantiles(spark):
+    rows = spark.createDataFrame([(0, 1.0)], "g int, v double")
+    groups = spark.createDataFrame([(0, [1.0], [2.0])], "g int, `from` array<double>, `to` array<double>")
+    sizes = [len(quantiles._bracketed(rows, groups, n)._jdf.queryExecution().analyzed().toString()) for n in (32, 256)]
+    assert sizes[1] < 1.5 * sizes[0]
